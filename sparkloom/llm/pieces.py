@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Distinct units of text (a word, or a run of other characters, each with the space before it) are
+Distinct units of text (a word, or a run of other characters, each with the spaces before it) are
 exploded into substrings, joined to the piece table, grouped by unit and folded to the path of
 the greatest score. Units are cut where no piece of the table reaches across, so a text's best
 path is the sequence of its units' best paths.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = "▁"
-UNIT = rf"{SPACE}?[\p{{L}}\p{{M}}]+|{SPACE}?[^{SPACE}\p{{L}}\p{{M}}]+|{SPACE}"
+UNIT = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^{SPACE}\p{{L}}\p{{M}}]+|{SPACE}+"
 #: Units whose pieces every worker holds at most, and their bytes at most; others are joined.
 HOT, HOT_BYTES = 1 << 20, 64
 #: Characters of a unit that the SQL fold takes; its state grows with the unit, so longer units are folded in a worker.
@@ -47,9 +47,7 @@ class Model:
         normal = [(i, p, s) for i, p, s in every if not special(i)]
         least = min(s for *_, s in normal)
         self.unknown_score = least - 10.0
-        # Pieces that no best path uses: spaces in a row cost less one by one.
-        one = next((s for _, p, s in normal if p == SPACE), -math.inf)
-        self.pieces = [(i, p, s) for i, p, s in normal if not (len(p) > 1 and set(p) == {SPACE} and s <= len(p) * one)]
+        self.pieces = normal
         self.longest = max(len(p) for _, p, _ in self.pieces)
         cut = regex.compile(UNIT)
         across = [p for _, p, _ in self.pieces if cut.fullmatch(p) is None]
@@ -201,7 +199,7 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
             miss = np.flatnonzero(at < 0)
             doc = np.searchsorted(ends, miss, "right") - 1
             got = pd.DataFrame({"k": b.column("k").to_numpy()[doc], "unit": flat.take(pa.array(miss)).to_pylist()}).drop_duplicates()
-            yield pa.RecordBatch.from_pandas(got, schema=pa.schema([("k", pa.int64()), ("unit", pa.string())]), preserve_index=False)
+            yield pa.RecordBatch.from_arrays([pa.array(got["k"].to_numpy(np.int64)), pa.array(got["unit"].to_list(), pa.string())], ["k", "unit"])
 
     cells = docs.select(row.alias("k"), units(F.col(text)).alias("u"))
     missing = cells.mapInArrow(cold, "k long, unit string").join(table.select("unit", "ids"), "unit")
