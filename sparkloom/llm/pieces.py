@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Distinct units of text (a word, or a run of other characters, each with the spaces before it) are
-exploded into substrings, joined to the piece table, grouped by unit and folded to the path of
-the greatest score. Units are cut where no piece of the table reaches across, so a text's best
-path is the sequence of its units' best paths.
+exploded into substrings, joined to the piece table, grouped by unit and folded by a Spark
+higher-order aggregate: for a unigram model to the path of the greatest score (Viterbi), for a
+BPE model by its merges, best score first, leftmost of equal ones. (The greatest sum of a BPE
+model's ranks is not its encoding.) Units are cut where no piece of the table reaches across, so
+a text's pieces are those of its units in a row.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -27,7 +30,7 @@ UNIT = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^{SPACE}\p{{L}}\p{{M}}]+|{SPACE}+"
 #: Units whose pieces every worker holds at most, and their bytes at most; others are joined.
 HOT, HOT_BYTES = 1 << 20, 64
 #: Characters of a unit that the SQL fold takes; its state grows with the unit, so longer units are folded in a worker.
-FOLD = 256
+FOLD = 48
 
 
 class Model:
@@ -35,7 +38,12 @@ class Model:
 
     def __init__(self, path: str) -> None:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        self.bpe = proto.trainer_spec.model_type == 2
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         every = [(i, m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())]
         special = lambda i: m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)
@@ -77,6 +85,38 @@ class Model:
             e = s
         return out
 
+    def merged(self, unit: str) -> list[int]:
+        """The BPE fold for one unit, with a heap: neighbours whose join is a piece, best score first, then leftmost."""
+        n = len(unit)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        todo: list[tuple[float, int, int]] = []
+
+        def offer(s: int) -> None:
+            if s >= 0 and end[s] < n and (hit := self.score.get(unit[s : end[end[s]]])):
+                heapq.heappush(todo, (-hit[1], s, end[end[s]]))
+
+        for s in range(n):
+            offer(s)
+        while todo:
+            _, s, e = heapq.heappop(todo)
+            mid = end[s]
+            if mid < 0 or mid >= n or end[mid] != e:
+                continue
+            end[s], end[mid] = e, -1
+            if e < n:
+                before[e] = s
+            offer(s)
+            offer(before[s])
+        out, s = [], 0
+        while s < n:
+            hit = self.score.get(unit[s : end[s]])
+            out += [hit[0]] if hit else self.char_ids(unit[s : end[s]])
+            s = end[s]
+        return out
+
+    def encode_unit(self, unit: str) -> list[int]:
+        return self.merged(unit) if self.bpe else self.viterbi(unit)
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces join to UTF-8 (bad bytes become U+FFFD); the first space goes."""
         byte = {i: b for b, i in enumerate(self.bytes or [])}
@@ -112,16 +152,18 @@ def lattice(distinct: DataFrame, model: Model) -> DataFrame:
 
 
 def folded(lattices: DataFrame, model: Model) -> DataFrame:
-    """``unit``, ``n``, ``ids``: the best path of each lattice, by two folds (forward scores, then back)."""
+    """``unit``, ``n``, ``ids``: each lattice's pieces; Viterbi by two folds (forward scores, then back)."""
     n = F.length("unit")
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("o"), F.lit(-1).alias("id")))
-    step = lambda acc, e: F.concat(acc, F.array(F.array_max(F.transform(F.filter("edges", lambda x: x["e"] == e), lambda x: F.struct((F.get(acc, x["s"])["score"] + x["score"]).alias("score"), (-x["s"]).alias("o"), x["id"].alias("id"))))))
-    best = lattices.withColumn("best", F.aggregate(F.sequence(F.lit(1), n), start, step))
     if model.bytes:
         code = F.array(*map(F.lit, model.bytes))
         spell = lambda c: F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda k: F.element_at(code, F.conv(F.substring(F.hex(c), 2 * k + 1, F.lit(2)), 16, 10).cast("int") + 1))
     else:
         spell = lambda c: F.array(F.lit(model.unknown))
+    if model.bpe:
+        return _merged(lattices, n, spell)
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("o"), F.lit(-1).alias("id")))
+    step = lambda acc, e: F.concat(acc, F.array(F.array_max(F.transform(F.filter("edges", lambda x: x["e"] == e), lambda x: F.struct((F.get(acc, x["s"])["score"] + x["score"]).alias("score"), (-x["s"]).alias("o"), x["id"].alias("id"))))))
+    best = lattices.withColumn("best", F.aggregate(F.sequence(F.lit(1), n), start, step))
     begin = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
 
     def back(st: Column, _: Column) -> Column:
@@ -132,6 +174,30 @@ def folded(lattices: DataFrame, model: Model) -> DataFrame:
     return best.select("unit", "n", F.aggregate(F.sequence(F.lit(1), n), begin, back, lambda st: st["ids"]).alias("ids"))
 
 
+def _merged(lattices: DataFrame, n: Column, spell) -> DataFrame:
+    """Folds each lattice by merges: of the edges that span two present pieces, the best, until there is none.
+
+    The state is the places where pieces end; a merge takes out the place between two.
+    """
+    place = lambda b, x: F.array_position(b, x)
+
+    def step(st: Column, _: Column) -> Column:
+        b = st["b"]
+        able = F.filter("edges", lambda x: (x["e"] - x["s"] > 1) & (place(b, x["s"]) > 0) & (place(b, x["e"]) - place(b, x["s"]) == 2))
+        best = F.array_max(F.transform(able, lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("o"), x["e"].alias("e"))))
+        return F.when(st["done"], st).otherwise(F.struct(best.isNull().alias("done"), F.when(best.isNull(), b).otherwise(F.filter(b, lambda p: (p <= -best["o"]) | (p >= best["e"]))).alias("b")))
+
+    begin = F.struct(F.lit(False).alias("done"), F.sequence(F.lit(0), n).alias("b"))
+    ends = lattices.select("unit", "n", "edges", F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda st: st["b"]).alias("b"))
+
+    def piece(p: Column, k: Column) -> Column:
+        to = F.get(F.col("b"), k + 1)
+        i = F.get(F.filter("edges", lambda x: (x["s"] == p) & (x["e"] == to)), F.lit(0))["id"]
+        return F.when(to.isNull(), F.array().cast("array<int>")).when(i >= 0, F.array(i)).otherwise(spell(F.substring(F.col("unit"), p + 1, F.lit(1))))
+
+    return ends.select("unit", "n", F.flatten(F.transform("b", piece)).alias("ids"))
+
+
 def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``unit``, ``n``, ``ids`` of every distinct unit of all texts, as a table in the shared folder."""
     counts = docs.select(F.explode(units(F.col(text))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
@@ -140,7 +206,7 @@ def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 
     def long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(ids=[model.viterbi(u) for u in pdf["unit"]])
+            yield pdf.assign(ids=[model.encode_unit(u) for u in pdf["unit"]])
 
     rest = counts.filter(F.length("unit") > FOLD).mapInPandas(long, "unit string, n long, ids array<int>")
     return common.written(short.unionByName(rest), "encoded")
