@@ -175,9 +175,11 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
 def _own(docs: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
     """Joins ``repeats`` to documents; of a text's documents all but the first are repeats throughout."""
     keyed = docs.withColumn("_t", F.coalesce(_text_key(F.col(text)), F.lit(0)))
-    out = keyed.join(found, F.col("_t") == F.col("t"), "left")
-    whole = F.array(F.array(F.lit(0), F.col("n_words")))
-    return out.withColumn("_later", F.when((F.col("copies") > 1) & ~F.col(id).cast("long").eqNullSafe(F.col("first")), whole).otherwise(F.col("later")))
+    found = found.select(*[F.col(c).alias(f"_own_{c}") for c in found.columns])  # the documents may have columns of these names
+    out = keyed.join(found, F.col("_t") == F.col("_own_t"), "left")
+    whole = F.array(F.array(F.lit(0), F.col("_own_n_words")))
+    later = (F.col("_own_copies") > 1) & ~F.col(id).cast("long").eqNullSafe(F.col("_own_first"))
+    return out.withColumn("_later", F.when(later, whole).otherwise(F.col("_own_later")))
 
 
 def measured(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
