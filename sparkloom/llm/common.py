@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text, in order; of null, none. JVM only."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def fold(id_: Column, modulus: int) -> Column:
