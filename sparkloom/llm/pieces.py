@@ -11,6 +11,7 @@ a text's pieces are those of its units in a row.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from collections.abc import Iterator
 
@@ -280,7 +281,7 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
             out = []
             for a, b in zip(ends[:-1], ends[1:]):
                 i = at[a:b]
-                out.append(z.compress(_gathered(k, i).astype(np.int32).tobytes()) + b"\0" + "\0".join(flat[a + int(m)].as_py() for m in np.flatnonzero(i < 0)).encode("utf-8", "surrogatepass") if len(i) else b"")
+                out.append(z.compress(_gathered(k, i).astype(np.int32).tobytes()) + json.dumps([flat[a + int(m)].as_py() for m in np.flatnonzero(i < 0)]).encode() if len(i) else b"")
             yield pd.Series(out, index=s.index)
 
     @F.pandas_udf("array<int>")
@@ -292,12 +293,11 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
                 continue
             o = d.decompressobj()
             ids = np.frombuffer(o.decompress(blob), np.int32)
-            names = o.unused_data[1:].decode("utf-8", "surrogatepass").split("\0")
             gaps = np.flatnonzero(ids < 0)
             if len(gaps):
                 c = dict(c)
                 parts, last = [], 0
-                for g, name in zip(gaps, _names(names, len(gaps))):
+                for g, name in zip(gaps, json.loads(o.unused_data)):
                     parts += [ids[last:g], np.asarray(c[name], np.int32)]
                     last = g + 1
                 ids = np.concatenate([*parts, ids[last:]])
@@ -323,12 +323,6 @@ def _gathered(k: _Known, at: np.ndarray) -> np.ndarray:
     return np.where(miss, -1, k.ids[np.minimum(place, max(0, len(k.ids) - 1))] if len(k.ids) else -1)
 
 
-def _names(names: list[str], n: int) -> list[str]:
-    if len(names) != n:  # a unit holds a NUL: it is one of several in a unit, so units are told apart otherwise
-        raise ValueError("units with NUL characters need another separator")
-    return names
-
-
 def decoded(rows: DataFrame, model_file: str, ids: str = "_ids", key: str = "_decoded") -> DataFrame:
     """``rows`` with ``key``: the text of the pieces in ``ids``; null ids give a null."""
     model = Model(model_file)

@@ -94,6 +94,16 @@ def test_pieces_are_the_librarys(spark, data):
     assert rows and all(list(r._ids) == own.encode(r.text) and r._decoded == r.text for r in rows)
 
 
+def test_pieces_of_rare_units_are_joined(spark, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "HOT", 0)
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    rows = [(1, "a\0b \0\0 c", "a"), (2, "x" + "\0" * 100 + 'y "q" \\ é漢', "a"), (3, "plain words, plain words", "a"), (4, None, "a"), (5, "", "a")]
+    got = pieces.decoded(pieces.encoded(docs(spark, rows), pieces.default_model()), pieces.default_model()).collect()
+    assert {r.doc_id: list(r._ids) for r in got} == {i: own.encode(t or "") for i, t, _ in rows}
+
+
 def test_viterbi_is_brute_force(spark):
     from itertools import product
 
