@@ -32,6 +32,8 @@ UNIT = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^{SPACE}\p{{L}}\p{{M}}]+|{SPACE}+"
 HOT, HOT_BYTES = 1 << 20, 64
 #: Characters of a unit that the SQL fold takes; its state grows with the unit, so longer units are folded in a worker.
 FOLD = 48
+#: Units that one task folds, about.
+TASK_UNITS = 50_000
 
 
 class Model:
@@ -175,26 +177,39 @@ def folded(lattices: DataFrame, model: Model) -> DataFrame:
     return best.select("unit", "n", F.aggregate(F.sequence(F.lit(1), n), begin, back, lambda st: st["ids"]).alias("ids"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value computed once: inside a fold a repeated expression is computed at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _merged(lattices: DataFrame, n: Column, spell) -> DataFrame:
     """Folds each lattice by merges: of the edges that span two present pieces, the best, until there is none.
 
-    The state is the places where pieces end; a merge takes out the place between two.
+    The state is the edges still possible and the places merged away. An edge carries how many
+    places lie within it (``c``) and their sum (``m``): with one place left, that is where it
+    merges. A merge ends all edges that start or end there.
     """
-    place = lambda b, x: F.array_position(b, x)
+    live = F.transform(F.filter("edges", lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("o"), x["e"].alias("e"), (x["e"] - x["s"] - 1).alias("c"), ((x["s"] + x["e"]) * (x["e"] - x["s"] - 1) / 2).cast("int").alias("m")))
+    state = lambda live, gone: F.struct(live.alias("live"), gone.alias("gone"))
+
+    def merge(st: Column, best: Column) -> Column:
+        at = best["m"]
+        left = F.filter(st["live"], lambda x: (x["e"] != at) & (x["o"] != -at) & ~((x["o"] == best["o"]) & (x["e"] == best["e"])))
+        within = lambda x: (-x["o"] < at) & (x["e"] > at)
+        left = F.transform(left, lambda x: F.when(within(x), F.struct(x["score"].alias("score"), x["o"].alias("o"), x["e"].alias("e"), (x["c"] - 1).alias("c"), (x["m"] - at).alias("m"))).otherwise(x))
+        return F.when(best.isNull(), state(F.filter(st["live"], lambda x: F.lit(False)), st["gone"])).otherwise(state(left, F.concat(st["gone"], F.array(at))))
 
     def step(st: Column, _: Column) -> Column:
-        b = st["b"]
-        able = F.filter("edges", lambda x: (x["e"] - x["s"] > 1) & (place(b, x["s"]) > 0) & (place(b, x["e"]) - place(b, x["s"]) == 2))
-        best = F.array_max(F.transform(able, lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("o"), x["e"].alias("e"))))
-        return F.when(st["done"], st).otherwise(F.struct(best.isNull().alias("done"), F.when(best.isNull(), b).otherwise(F.filter(b, lambda p: (p <= -best["o"]) | (p >= best["e"]))).alias("b")))
+        return F.when(F.size(st["live"]) == 0, st).otherwise(_let(F.array_max(F.filter(st["live"], lambda x: x["c"] == 1)), lambda best: merge(st, best)))
 
-    begin = F.struct(F.lit(False).alias("done"), F.sequence(F.lit(0), n).alias("b"))
-    ends = lattices.select("unit", "n", "edges", F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda st: st["b"]).alias("b"))
+    begin = state(F.col("live"), F.array().cast("array<int>"))
+    ends = lattices.withColumn("live", live).withColumn("gone", F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda st: st["gone"]))
+    ends = ends.select("unit", "n", "edges", F.array_except(F.sequence(F.lit(0), n), F.col("gone")).alias("b"))
 
     def piece(p: Column, k: Column) -> Column:
-        to = F.get(F.col("b"), k + 1)
-        i = F.get(F.filter("edges", lambda x: (x["s"] == p) & (x["e"] == to)), F.lit(0))["id"]
-        return F.when(to.isNull(), F.array().cast("array<int>")).when(i >= 0, F.array(i)).otherwise(spell(F.substring(F.col("unit"), p + 1, F.lit(1))))
+        found = _let(F.get(F.col("b"), k + 1), lambda to: F.get(F.filter("edges", lambda x: (x["s"] == p) & (x["e"] == to)), F.lit(0))["id"])
+        spelt = lambda i: F.when(i >= 0, F.array(i)).otherwise(spell(F.substring(F.col("unit"), p + 1, F.lit(1))))
+        return F.when(p == n, F.array().cast("array<int>")).otherwise(_let(found, spelt))
 
     return ends.select("unit", "n", F.flatten(F.transform("b", piece)).alias("ids"))
 
@@ -203,7 +218,9 @@ def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     """``unit``, ``n``, ``ids`` of every distinct unit of all texts, as a table in the shared folder."""
     counts = docs.select(F.explode(units(F.col(text))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
     counts = common.written(counts, "units")
-    short = folded(lattice(counts.filter(F.length("unit") <= FOLD).repartition("unit"), model), model)
+    # Units are short rows that take much work, so their count decides the tasks, not their bytes.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // TASK_UNITS))
+    short = folded(lattice(counts.filter(F.length("unit") <= FOLD).repartition(parts, "unit"), model), model)
 
     def long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
