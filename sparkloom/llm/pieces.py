@@ -138,20 +138,33 @@ def units(text: Column) -> Column:
 
 
 def lattice(distinct: DataFrame, model: Model) -> DataFrame:
-    """``distinct``: unit (distinct), n. Returns unit, n, edges: all pieces of the table within the unit.
-
-    An edge is struct(e, s, id, score): piece ``id`` from character ``s`` to ``e``. A character
-    that is no piece has an edge with id -1. Exploding and joining keep the units where the
-    grouping by unit has put them, so the second grouping needs no shuffle.
+    """``distinct``: unit (distinct), n. Returns a row per unit with all pieces of the table within it.
+
+    A character that is no piece has an edge with id -1. Unigram models: ``edges`` of struct(e, s,
+    id, score), piece ``id`` from character ``s`` to ``e``. BPE models: ``long``, the edges of
+    several characters, as struct(key, ends, within), and ``short``, the keys of those of one. A
+    key is a number: the score's rank, 63 - s, e and id + 1 in 24, 6, 6 and 20 bits, so that the
+    greatest is the best, then leftmost; ``ends`` has the bits s and e, ``within`` those between.
+    Exploding and joining keep the units where the grouping by unit has put them, so the second
+    grouping needs no shuffle.
     """
     spark = distinct.sparkSession
-    table = spark.createDataFrame([(p, i, float(s)) for i, p, s in model.pieces], "piece string, id int, score double")  # the model's, of fixed size
-    n = F.length("unit")
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("unit"), s + 1, k).alias("sub")))))
-    rows = distinct.select("unit", "n", F.explode(parts).alias("x")).select("unit", "n", "x.*")
-    rows = rows.join(F.broadcast(table), F.col("sub") == F.col("piece"), "left").filter("piece is not null or e = s + 1")
-    edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.unknown_score)).alias("score"))
-    return rows.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+    rank = {s: k for k, s in enumerate(sorted({s for *_, s in model.pieces}))}
+    table = spark.createDataFrame([(p, i, float(s), rank[s]) for i, p, s in model.pieces], "piece string, id int, score double, rank long").withColumn("ph", F.xxhash64("piece"))  # the model's, of fixed size
+    # Two plain explodes and a projection are compiled; arrays of substrings would be interpreted.
+    rows = distinct.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    rows = rows.select("unit", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + model.longest, F.length("unit")))).alias("e"))
+    rows = rows.withColumn("sub", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")))
+    # The one equal key is a number, which Spark looks up far faster than a text; that each begins with the other is the exact check.
+    same = (F.xxhash64("sub") == F.col("ph")) & F.col("sub").startswith(F.col("piece")) & F.col("piece").startswith(F.col("sub"))
+    rows = rows.join(F.broadcast(table), same, "left").filter("piece is not null or e = s + 1").withColumn("h", F.xxhash64("unit"))
+    by = ["h", "unit"]  # sorted by the hash first: short to compare
+    if not model.bpe:
+        edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.unknown_score)).alias("score"))
+        return rows.groupBy(*by).agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges")).drop("h")
+    key = "shiftleft(coalesce(rank, 0L), 32) + shiftleft(cast(63 - s as long), 26) + shiftleft(cast(e as long), 20) + coalesce(id, -1) + 1"
+    several = F.expr(f"if(e > s + 1, struct({key} as key, shiftleft(1L, s) + shiftleft(1L, e) as ends, shiftleft(1L, e) - shiftleft(2L, s) as within), null)")
+    return rows.groupBy(*by).agg(F.first("n").alias("n"), F.collect_list(several).alias("long"), F.collect_list(F.expr(f"if(e = s + 1, {key}, null)")).alias("short")).drop("h")
 
 
 def folded(lattices: DataFrame, model: Model) -> DataFrame:
@@ -185,33 +198,23 @@ def _let(value: Column, body) -> Column:
 def _merged(lattices: DataFrame, n: Column, spell) -> DataFrame:
     """Folds each lattice by merges: of the edges that span two present pieces, the best, until there is none.
 
-    The state is the edges still possible and the places merged away. An edge carries how many
-    places lie within it (``c``) and their sum (``m``): with one place left, that is where it
-    merges. A merge ends all edges that start or end there.
+    The state is one number, a bit for each place (0 to n, at most ``FOLD``) where a piece still
+    begins or ends; negated once no merge is left. An edge can merge if both its ends are such
+    places and one place lies within it; the merge takes that place away. The pieces are the
+    edges that have no place within them at the end.
     """
-    live = F.transform(F.filter("edges", lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("o"), x["e"].alias("e"), (x["e"] - x["s"] - 1).alias("c"), ((x["s"] + x["e"]) * (x["e"] - x["s"] - 1) / 2).cast("int").alias("m")))
-    state = lambda live, gone: F.struct(live.alias("live"), gone.alias("gone"))
-
-    def merge(st: Column, best: Column) -> Column:
-        at = best["m"]
-        left = F.filter(st["live"], lambda x: (x["e"] != at) & (x["o"] != -at) & ~((x["o"] == best["o"]) & (x["e"] == best["e"])))
-        within = lambda x: (-x["o"] < at) & (x["e"] > at)
-        left = F.transform(left, lambda x: F.when(within(x), F.struct(x["score"].alias("score"), x["o"].alias("o"), x["e"].alias("e"), (x["c"] - 1).alias("c"), (x["m"] - at).alias("m"))).otherwise(x))
-        return F.when(best.isNull(), state(F.filter(st["live"], lambda x: F.lit(False)), st["gone"])).otherwise(state(left, F.concat(st["gone"], F.array(at))))
-
-    def step(st: Column, _: Column) -> Column:
-        return F.when(F.size(st["live"]) == 0, st).otherwise(_let(F.array_max(F.filter(st["live"], lambda x: x["c"] == 1)), lambda best: merge(st, best)))
-
-    begin = state(F.col("live"), F.array().cast("array<int>"))
-    ends = lattices.withColumn("live", live).withColumn("gone", F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda st: st["gone"]))
-    ends = ends.select("unit", "n", "edges", F.array_except(F.sequence(F.lit(0), n), F.col("gone")).alias("b"))
-
-    def piece(p: Column, k: Column) -> Column:
-        found = _let(F.get(F.col("b"), k + 1), lambda to: F.get(F.filter("edges", lambda x: (x["s"] == p) & (x["e"] == to)), F.lit(0))["id"])
-        spelt = lambda i: F.when(i >= 0, F.array(i)).otherwise(spell(F.substring(F.col("unit"), p + 1, F.lit(1))))
-        return F.when(p == n, F.array().cast("array<int>")).otherwise(_let(found, spelt))
-
-    return ends.select("unit", "n", F.flatten(F.transform("b", piece)).alias("ids"))
+    here = lambda x, at: at.bitwiseAND(x["ends"]) == x["ends"]
+    can = lambda at: F.filter("long", lambda x: (F.bit_count(at.bitwiseAND(x["within"])) == 1) & here(x, at))
+    merge = lambda at: _let(F.array_max(can(at)), lambda best: F.coalesce(at - at.bitwiseAND(best["within"]), -at))
+    step = lambda at, _: F.when(at < 0, at).otherwise(merge(at))
+    all_ = F.expr("shiftleft(1L, length(unit) + 1) - 1")
+    ends = lattices.withColumn("at", F.abs(F.aggregate(F.sequence(F.lit(1), n), all_, step)))
+    long = F.transform(F.filter("long", lambda x: (F.col("at").bitwiseAND(x["within"]) == 0) & here(x, F.col("at"))), lambda x: x["key"])
+    begin = lambda k: 63 - F.shiftright(k, 26).bitwiseAND(F.lit(63)).cast("int")
+    short = F.filter("short", lambda k: F.call_function("shiftright", F.col("at"), begin(k)).bitwiseAND(F.lit(3)) == 3)
+    found = F.transform(F.concat(long, short), lambda k: F.struct(begin(k).alias("s"), (k.bitwiseAND(F.lit(0xFFFFF)) - 1).cast("int").alias("id")))
+    ends = ends.select("unit", "n", F.array_sort(found).alias("found"))
+    return ends.select("unit", "n", F.flatten(F.transform("found", lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(spell(F.substring(F.col("unit"), x["s"] + 1, F.lit(1)))))).alias("ids"))
 
 
 def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
