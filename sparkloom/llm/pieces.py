@@ -292,17 +292,16 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
     missing = cells.mapInArrow(cold, "k long, unit string").join(table.select("unit", "ids"), "unit")
     missing = missing.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("unit", "ids"))).alias("_cold")).withColumnRenamed("k", "_k2")
 
-    @F.pandas_udf("binary")
-    def skeleton(u: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def skeleton(u: Iterator[pa.Array]) -> Iterator[pa.Array]:
         k, z = _Known(known.value), zstandard.ZstdCompressor(level=3)
-        for s in u:
-            lists = pa.array(s, type=pa.list_(pa.string()))
+        for lists in u:
             flat, at, ends = looked_up(pa.RecordBatch.from_arrays([lists], ["u"]), k)
             out = []
             for a, b in zip(ends[:-1], ends[1:]):
                 i = at[a:b]
                 out.append(z.compress(_gathered(k, i).astype(np.int32).tobytes()) + json.dumps([flat[a + int(m)].as_py() for m in np.flatnonzero(i < 0)]).encode() if len(i) else b"")
-            yield pd.Series(out, index=s.index)
+            yield pa.array(out, pa.binary())
 
     @F.pandas_udf("array<int>")
     def filled(blobs: pd.Series, colds: pd.Series) -> pd.Series:
