@@ -29,7 +29,7 @@ from . import common
 SPACE = "▁"
 UNIT = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^{SPACE}\p{{L}}\p{{M}}]+|{SPACE}+"
 #: Units whose pieces every worker holds at most, and their bytes at most; others are joined.
-HOT, HOT_BYTES = 1 << 20, 64
+HOT, HOT_BYTES = 1 << 18, 64
 #: Characters of a unit that the SQL fold takes; its state grows with the unit, so longer units are folded in a worker.
 FOLD = 48
 #: Units that one task folds, about.
@@ -287,6 +287,8 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
             doc = np.searchsorted(ends, miss, "right") - 1
             got = pd.DataFrame({"k": b.column("k").to_numpy()[doc], "unit": flat.take(pa.array(miss)).to_pylist()}).drop_duplicates()
             yield pa.RecordBatch.from_arrays([pa.array(got["k"].to_numpy(np.int64)), pa.array(got["unit"].to_list(), pa.string())], ["k", "unit"])
+            del flat, at, ends, miss, doc, got
+            pa.default_memory_pool().release_unused()
 
     cells = docs.select(row.alias("k"), units(F.col(text)).alias("u"))
     missing = cells.mapInArrow(cold, "k long, unit string").join(table.select("unit", "ids"), "unit")
@@ -301,6 +303,8 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
             for a, b in zip(ends[:-1], ends[1:]):
                 i = at[a:b]
                 out.append(z.compress(_gathered(k, i).astype(np.int32).tobytes()) + json.dumps([flat[a + int(m)].as_py() for m in np.flatnonzero(i < 0)]).encode() if len(i) else b"")
+            del flat, at, ends
+            pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
             yield pa.array(out, pa.binary())
 
     @F.pandas_udf("array<int>")
