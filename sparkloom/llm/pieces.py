@@ -307,25 +307,26 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
             pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
             yield pa.array(out, pa.binary())
 
-    @F.pandas_udf("array<int>")
-    def filled(blobs: pd.Series, colds: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def filled(blobs: pa.Array, colds: pa.Array) -> pa.Array:
         d, out = zstandard.ZstdDecompressor(), []
-        for blob, c in zip(blobs, colds):
-            if not blob:
-                out.append(np.zeros(0, np.int32))
-                continue
+        names, offset = colds.keys, colds.offsets.to_numpy()
+        flat, ends = colds.items.values.to_numpy(zero_copy_only=False), colds.items.offsets.to_numpy()
+        for r, blob in enumerate(blobs):
             o = d.decompressobj()
-            ids = np.frombuffer(o.decompress(blob), np.int32)
+            ids = np.frombuffer(o.decompress(blob.as_buffer()), np.int32) if len(blob.as_buffer()) else np.zeros(0, np.int32)
             gaps = np.flatnonzero(ids < 0)
             if len(gaps):
-                c = dict(c)
+                at = {name: k for k, name in enumerate(names.slice(offset[r], offset[r + 1] - offset[r]).to_pylist(), offset[r])}
                 parts, last = [], 0
                 for g, name in zip(gaps, json.loads(o.unused_data)):
-                    parts += [ids[last:g], np.asarray(c[name], np.int32)]
+                    k = at[name]
+                    parts += [ids[last:g], flat[ends[k] : ends[k + 1]]]
                     last = g + 1
                 ids = np.concatenate([*parts, ids[last:]])
-            out.append(ids)
-        return pd.Series(out, index=blobs.index)
+            out.append(ids.astype(np.int32))
+        sizes = np.cumsum([0, *map(len, out)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
 
     rows = docs.withColumn("_k1", row).withColumn("_skeleton", skeleton(units(F.col(text))))
     if text in rows.columns and key != text:
