@@ -20,14 +20,21 @@ CHUNK = 16384
 BLOCK = 1 << 18
 
 
-def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
-    """SimHash over word shingles, repeats included. Fewer words than ``size``: one shingle; none: 0."""
+def hashed(text: str | None, size: int, seed: int = 42) -> np.ndarray:
+    """A hash of each word shingle, repeats included. Fewer words than ``size``: one shingle; no words: none."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z changes, only ASCII white space splits
     if not w:
-        return 0
+        return np.empty(0, dtype=">u8")
     grams = [b" ".join(w)] if len(w) < size else map(b" ".join, zip(*(w[i:] for i in range(size))))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g, seed) for g in grams), dtype=">u8")
+    return np.fromiter((digest(g, seed) for g in grams), dtype=">u8")
+
+
+def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
+    """SimHash over word shingles, repeats included. Fewer words than ``size``: one shingle; none: 0."""
+    h = hashed(text, size, seed)
+    if not len(h):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):  # long texts: a bounded bit matrix
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

@@ -8,7 +8,7 @@ from conftest import plain
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import common, embeddings, mixing, pieces, quality, queries, rules, simhash, suffixes, toxicity, urls, warc
+from sparkloom.llm import common, embeddings, mixing, pieces, quality, queries, rules, similar, simhash, suffixes, toxicity, urls, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _fp string, t int"
 
@@ -85,6 +85,52 @@ def test_simhash_odd_rows(spark):
     assert kept.columns == docs(spark, ODD).columns and {r.doc_id for r in kept.collect()} >= {1, 4, None}
 
 
+def similar_components(texts, least=0.8):
+    """Smallest id of each text's component, by all pairs; texts: id to text."""
+    grams = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        grams[i] = {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    low = {i: i for i in texts}
+    links = [(i, j) for i in texts for j in texts if i < j and (grams[i] == grams[j] or 5 * len(grams[i] & grams[j]) >= 5 * least * len(grams[i] | grams[j]))]
+    for _ in texts:
+        new = dict(low)
+        for i, j in links:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == low:
+            return low
+        low = new
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "NEAR", 3)
+    r = np.random.default_rng(7)
+    text = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    base, part, texts = text(120), text(90), {}
+    for i in range(60):
+        w = list(base)
+        for at in r.integers(0, 120, int(r.integers(0, 7))):
+            w[at] = f"e{i}"
+        texts[i] = " ".join(w if i % 3 else part + text(60))  # a third shares a passage only
+    texts |= {100: " ".join(base[:40]), 101: "a b c d e f g h i", 102: "A b c d e f  g h i", 103: "a b c d e f g h i j", 104: None, 105: ""}
+    want = similar_components(texts)
+    assert len(set(want.values())) > 20
+    got = similar.near_duplicates(docs(spark, [(i, t, "a") for i, t in texts.items()] + [(None, texts[1], "a")])).collect()
+    assert {x.doc_id: x.component_id for x in got} == want | {None: None}
+    assert similar.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_pipeline_drops_a_planted_near_copy(spark, data):
+    r = np.random.default_rng(8)
+    w = [f"w{x}" for x in r.integers(0, 10**9, 104)]
+    near, far = list(w), list(w)
+    near[10] = near[50] = "other"
+    far[10] = far[30] = far[50] = far[70] = far[90] = "other"
+    d = docs(spark, [(1, " ".join(w), "a"), (2, " ".join(near), "a"), (3, " ".join(far), "a"), (None, " ".join(near), "a")])
+    kept = corpus_pipeline.drop_near_copies(spark, d, data)
+    assert kept.columns == d.columns and [x.doc_id for x in kept.orderBy("doc_id").collect()] == [None, 1, 3]
+
+
 def test_pieces_are_the_librarys(spark, data):
     import sentencepiece
 
