@@ -206,6 +206,18 @@ def test_rules_against_python(spark, data):
         assert not (r.kept and failed)
 
 
+def test_buckets_follow_the_distinct_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(rules, "BUCKETS", 4)
+    d = docs(spark, [(i, " ".join(f"w{i}x{j}" for j in range(50)), "a") for i in range(100)])
+    assert rules.bucket_count(d) == 512 and rules.bucket_count(d.limit(0)) == 4  # 5,000 words and 4,900 pairs
+    assert rules.bucket_count(d.unionAll(d)) == 512
+    ids = spark.createDataFrame([(1,)], "doc_id long")
+    assert rules.log_ratios(d, ids).count() > 400
+    want = {r.doc_id: round(r.score, 9) for r in rules.judged(d, ids).collect()}
+    monkeypatch.setattr(rules, "WIDE", 0)
+    assert {r.doc_id: round(r.score, 9) for r in rules.judged(d, ids).collect()} == want
+
+
 def test_rules_on_odd_rows(spark):
     ids = spark.createDataFrame([(7,), (None,)], "doc_id long")
     got = rules.judged(docs(spark, ODD), ids).collect()
