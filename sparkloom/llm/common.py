@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A temporary one is set only where the session names none (tests)."""
+    """The folder all executors share. A temporary one is set only where the session names none and is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparkloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -32,8 +35,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` gave, once nothing reads it any more."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def own_names(*frames: DataFrame):
+    """A function from a short name to one that no column of ``frames`` has (case aside)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    start = "_own"
+    while any(c.startswith(start) for c in taken):
+        start += "_"
+    return lambda name: f"{start}{name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder; Spark removes the files with the last reference."""
+    """``df`` checkpointed in the shared folder; Spark's context cleaner removes the files after the last
+    reference where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -1,22 +1,20 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Distinct units of text (a word, or a run of other characters, each with the spaces before it) are
-exploded into substrings, joined to the piece table, grouped by unit and folded by a Spark
-higher-order aggregate: for a unigram model to the path of the greatest score (Viterbi), for a
-BPE model by its merges, best score first, leftmost of equal ones. (The greatest sum of a BPE
-model's ranks is not its encoding.) Units are cut where no piece of the table reaches across, so
-a text's pieces are those of its units in a row.
+exploded into substrings, joined to the piece table, grouped by unit and folded by Spark
+higher-order aggregates. A unigram model's fold is Viterbi's: the path of the greatest score. The
+greatest sum of a BPE model's ranks is not its encoding; so the fold of a BPE model takes merges,
+best score first, leftmost of equal ones, on a state of one number. Longer units than that number
+has places for are folded by Viterbi's recurrence over edges that may follow one another. Units are
+cut where no piece of the table reaches across, so a text's pieces are those of its units in a row.
 """
 
 from __future__ import annotations
 
-import heapq
-import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -29,15 +27,20 @@ from . import common
 SPACE = "▁"
 UNIT = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^{SPACE}\p{{L}}\p{{M}}]+|{SPACE}+"
 #: Units whose pieces every worker holds at most, and their bytes at most; others are joined.
-HOT, HOT_BYTES = 1 << 18, 64
-#: Characters of a unit that the SQL fold takes; its state grows with the unit, so longer units are folded in a worker.
+HOT, HOT_BYTES = 1 << 19, 64
+#: Characters of a unit that one number's bits serve; longer units take the other fold.
 FOLD = 48
-#: Units that one task folds, about.
-TASK_UNITS = 50_000
+#: Units that one task folds, about; bytes of text that a worker splits at a time, about.
+TASK_UNITS, SLICE = 50_000, 8 << 20
 
 
 class Model:
-    """The piece table of a SentencePiece file: scores, byte pieces and the unknown piece."""
+    """The piece table of a SentencePiece file: scores, byte pieces and the unknown piece.
+
+    Refuses files that these operators would encode otherwise than the library: a normaliser other
+    than ``identity``, extra white space removed, spaces not escaped or put behind words,
+    user-defined symbols, and pieces that reach across units or are over ``FOLD`` / 2 long.
+    """
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -46,148 +49,185 @@ class Model:
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        self.bpe = proto.trainer_spec.model_type == 2
+        how, trainer = proto.normalizer_spec, proto.trainer_spec
+        if how.precompiled_charsmap or how.remove_extra_whitespaces or not how.escape_whitespaces or trainer.treat_whitespace_as_suffix:
+            raise ValueError("only files without normalisation, with escaped spaces before words, are supported")
+        if any(p.type == p.USER_DEFINED for p in proto.pieces):
+            raise ValueError("user-defined symbols are not supported")
+        if trainer.model_type not in (1, 2):
+            raise ValueError("only unigram and BPE models are supported")
+        self.bpe = trainer.model_type == 2
+        self.prefix = SPACE if how.add_dummy_prefix else ""
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         every = [(i, m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())]
         special = lambda i: m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)
         self.unknown = m.unk_id()
-        self.text = [p for _, p, _ in every]
-        self.special = {i for i, _, _ in every if special(i) and not m.is_byte(i)}
         byte = {int(p[3:-1], 16): i for i, p, _ in every if m.is_byte(i)}
         self.bytes = [byte[b] for b in range(256)] if len(byte) == 256 else None
-        normal = [(i, p, s) for i, p, s in every if not special(i)]
-        least = min(s for *_, s in normal)
-        self.unknown_score = least - 10.0
-        self.pieces = normal
+        self.pieces = [(i, p, s) for i, p, s in every if not special(i)]
+        self.unknown_score = min(s for *_, s in self.pieces) - 10.0
         self.longest = max(len(p) for _, p, _ in self.pieces)
         cut = regex.compile(UNIT)
         across = [p for _, p, _ in self.pieces if cut.fullmatch(p) is None]
-        if across:
-            raise ValueError(f"pieces reach across units: {across[:5]}")
-        self.score = {p: (i, s) for i, p, s in self.pieces}
-
-    def char_ids(self, c: str) -> list[int]:
-        return [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
-
-    def viterbi(self, unit: str) -> list[int]:
-        """The fold for one unit, in linear time: greatest score, ties to the longest last piece."""
-        best: list[tuple[float, int, int]] = [(0.0, 0, -1)]
-        for e in range(1, len(unit) + 1):
-            found = None
-            for s in range(max(0, e - self.longest), e):
-                hit = self.score.get(unit[s:e])
-                if hit is None and s == e - 1:
-                    hit = (-1, self.unknown_score)
-                if hit and (found is None or best[s][0] + hit[1] > found[0]):
-                    found = (best[s][0] + hit[1], s, hit[0])
-            best.append(found)
-        out, e = [], len(unit)
-        while e:
-            _, s, i = best[e]
-            out[:0] = [i] if i >= 0 else self.char_ids(unit[s:e])
-            e = s
-        return out
-
-    def merged(self, unit: str) -> list[int]:
-        """The BPE fold for one unit, with a heap: neighbours whose join is a piece, best score first, then leftmost."""
-        n = len(unit)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        todo: list[tuple[float, int, int]] = []
-
-        def offer(s: int) -> None:
-            if s >= 0 and end[s] < n and (hit := self.score.get(unit[s : end[end[s]]])):
-                heapq.heappush(todo, (-hit[1], s, end[end[s]]))
-
-        for s in range(n):
-            offer(s)
-        while todo:
-            _, s, e = heapq.heappop(todo)
-            mid = end[s]
-            if mid < 0 or mid >= n or end[mid] != e:
-                continue
-            end[s], end[mid] = e, -1
-            if e < n:
-                before[e] = s
-            offer(s)
-            offer(before[s])
-        out, s = [], 0
-        while s < n:
-            hit = self.score.get(unit[s : end[s]])
-            out += [hit[0]] if hit else self.char_ids(unit[s : end[s]])
-            s = end[s]
-        return out
-
-    def encode_unit(self, unit: str) -> list[int]:
-        return self.merged(unit) if self.bpe else self.viterbi(unit)
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: byte pieces join to UTF-8 (bad bytes become U+FFFD); the first space goes."""
-        byte = {i: b for b, i in enumerate(self.bytes or [])}
-        out = b"".join(bytes([byte[i]]) if i in byte else b"" if i in self.special else self.text[i].replace(SPACE, " ").encode("utf-8", "surrogatepass") for i in ids)
-        try:
-            text = out.decode("utf-8", "surrogatepass")
-        except UnicodeDecodeError:
-            text = out.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
-
-def units(text: Column) -> Column:
-    """A text's units in order; of null and empty texts, none."""
-    full = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(full, F.lit(UNIT), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        if across or 2 * self.longest > FOLD:
+            raise ValueError(f"pieces reach across units or are over {FOLD // 2} characters: {across[:5]}")
+        back = {i: b for b, i in enumerate(self.bytes or [])}
+        #: Each id's bytes as hexadecimal digits; of special pieces, none.
+        self.spelt = [f"{back[i]:02X}" if i in back else "" if special(i) else p.replace(SPACE, " ").encode().hex().upper() for i, p, _ in every]
+        one = {ord(p): i for i, p, _ in self.pieces if len(p) == 1}
+        #: The id of each character by its code point, -1 if it is no piece.
+        self.chars = [one.get(c, -1) for c in range(max(one, default=0) + 1)]
 
 
-def lattice(distinct: DataFrame, model: Model) -> DataFrame:
-    """``distinct``: unit (distinct), n. Returns a row per unit with all pieces of the table within it.
-
-    A character that is no piece has an edge with id -1. Unigram models: ``edges`` of struct(e, s,
-    id, score), piece ``id`` from character ``s`` to ``e``. BPE models: ``long``, the edges of
-    several characters, as struct(key, ends, within), and ``short``, the keys of those of one. A
-    key is a number: the score's rank, 63 - s, e and id + 1 in 24, 6, 6 and 20 bits, so that the
-    greatest is the best, then leftmost; ``ends`` has the bits s and e, ``within`` those between.
-    Exploding and joining keep the units where the grouping by unit has put them, so the second
-    grouping needs no shuffle.
+def split(texts: pa.Array, prefix: str = SPACE) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct units of texts, the units' numbers of all texts in a row, and where each text's end (from 0).
+
+    Words between spaces are taken once; texts with several spaces in a row, one at an end or
+    U+2581 before a space are split as a whole. Null and empty texts have no unit.
     """
-    spark = distinct.sparkSession
+    cut = regex.compile(UNIT)
+    lists = pc.split_pattern(texts.fill_null(""), " ")
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    enc = lists.flatten().dictionary_encode()
+    at, words = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary
+    first = np.cumsum(n) - n
+    if prefix:
+        odd = pc.or_(pc.equal(words, ""), pc.ends_with(words, SPACE)).to_numpy(zero_copy_only=False)
+        whole = np.add.reduceat(odd[at].astype(np.int64), first) > 0 if len(at) else np.zeros(0, bool)
+    else:
+        whole = np.ones(len(n), bool)
+    known: dict[str, int] = {}
+    codes, ends = [], [0]
+    for w in words.to_pylist():
+        codes += [known.setdefault(u, len(known)) for u in cut.findall(prefix + w)]
+        ends.append(len(codes))
+    where = np.flatnonzero(whole)
+    for t in texts.take(pa.array(where)).to_pylist():
+        codes += [known.setdefault(u, len(known)) for u in cut.findall(prefix + t.replace(" ", SPACE))] if t else []
+        ends.append(len(codes))
+    # A text split as a whole counts as one word of its own.
+    keep = np.repeat(~whole, n)
+    keep[first[where]] = True
+    at[first[where]] = len(words) + np.arange(len(where))
+    at, n = at[keep], np.where(whole, 1, n)
+    codes, ends = np.array(codes, np.int64), np.array(ends, np.int64)
+    size = (ends[1:] - ends[:-1])[at]
+    out = codes[_ranges(ends[at], size)] if len(codes) else np.zeros(0, np.int64)
+    return pa.array(list(known), pa.string()), out, np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ..., ``size`` of them, for each in a row."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of about ``SLICE`` bytes, a text at least."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, n, edge) to one for each run of a unit, with the list of its edges that are not null."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([held, b] if held is not None else [b]).combine_chunks().to_batches()[0]
+        run = pc.run_end_encode(t.column("unit")).run_ends.to_numpy()
+        start = int(run[-2]) if len(run) > 1 else 0  # the last run may go on
+        held = t.slice(start)
+        if start:
+            yield _runs(t.slice(0, start), run[:-1])
+    if held is not None:
+        yield _runs(held, np.array([held.num_rows]))
+
+
+def _runs(t: pa.RecordBatch, run: np.ndarray) -> pa.RecordBatch:
+    edge = t.column("edge")
+    there = edge.is_valid()
+    ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[np.concatenate([[0], run])].astype(np.int32)
+    lasts = pa.array(run - 1)
+    lists = pa.ListArray.from_arrays(pa.array(ends), edge.filter(there))
+    return pa.RecordBatch.from_arrays([t.column("unit").take(lasts), t.column("n").take(lasts), lists], ["unit", "n", "edges"])
+
+
+def _table(spark: SparkSession, model: Model) -> DataFrame:
     rank = {s: k for k, s in enumerate(sorted({s for *_, s in model.pieces}))}
-    table = spark.createDataFrame([(p, i, float(s), rank[s]) for i, p, s in model.pieces], "piece string, id int, score double, rank long").withColumn("ph", F.xxhash64("piece"))  # the model's, of fixed size
-    # Two plain explodes and a projection are compiled; arrays of substrings would be interpreted.
-    rows = distinct.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    rows = rows.select("unit", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + model.longest, F.length("unit")))).alias("e"))
+    rows = [(p, i, float(s), rank[s]) for i, p, s in model.pieces]
+    return spark.createDataFrame(rows, "piece string, id int, score double, rank long").withColumn("ph", F.xxhash64("piece"))
+
+
+def edges(distinct: DataFrame, model: Model, least: int = 1) -> DataFrame:
+    """``unit``, ``n``, ``s``, ``e``, ``sub``, ``piece``, ``id``, ``score``, ``rank``: substrings of each unit of
+    ``distinct`` (unit, n) that are pieces, of ``least`` characters at least, and the first ``least`` - 1 (piece null).
+
+    Two plain explodes and a projection are compiled. The table is the model's, of fixed size. The
+    one equal key is a number, which Spark looks up far faster than a text; that each begins with
+    the other is the exact check. All rows of a unit stay neighbours.
+    """
+    rows = distinct.select("unit", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("unit") - least))).alias("s"))
+    low = F.when(F.col("s") == 0, F.lit(1)).otherwise(F.col("s") + least)
+    rows = rows.select("unit", "n", "s", F.explode(F.sequence(low, F.least(F.col("s") + model.longest, F.length("unit")))).alias("e"))
     rows = rows.withColumn("sub", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")))
-    # The one equal key is a number, which Spark looks up far faster than a text; that each begins with the other is the exact check.
     same = (F.xxhash64("sub") == F.col("ph")) & F.col("sub").startswith(F.col("piece")) & F.col("piece").startswith(F.col("sub"))
-    rows = rows.join(F.broadcast(table), same, "left").filter("piece is not null or e = s + 1").withColumn("h", F.xxhash64("unit"))
-    by = ["h", "unit"]  # sorted by the hash first: short to compare
-    if not model.bpe:
+    rows = rows.join(F.broadcast(_table(distinct.sparkSession, model)), same, "left")
+    return rows.filter("piece is not null or e = s + 1").drop("ph")
+
+
+def lattice(distinct: DataFrame, model: Model) -> DataFrame:
+    """``unit``, ``n``, ``edges`` of every row of ``distinct`` (unit, n): all pieces of the table within it.
+
+    Unigram models: struct(e, s, id, score), piece ``id`` from character ``s`` to ``e``; a character
+    that is no piece has an edge with id -1. BPE models: struct(key, ends, within) of pieces of
+    several characters. A key is a number: the score's rank, 63 - s, e and id + 1 in 24, 6, 6 and 20
+    bits, so that the greatest is the best, then leftmost; ``ends`` has the bits s and e, ``within``
+    those between. A unit's edges are neighbours already, so grouping them takes neither shuffle nor sort.
+    """
+    if model.bpe:
+        key = "shiftleft(rank, 32) + shiftleft(cast(63 - s as long), 26) + shiftleft(cast(e as long), 20) + id + 1"
+        edge = F.expr(f"if(piece is not null and e > s + 1, struct({key} as key, shiftleft(1L, s) + shiftleft(1L, e) as ends, shiftleft(1L, e) - shiftleft(2L, s) as within), null)")
+        form = "struct<key: long, ends: long, within: long>"
+    else:
         edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.unknown_score)).alias("score"))
-        return rows.groupBy(*by).agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges")).drop("h")
-    key = "shiftleft(coalesce(rank, 0L), 32) + shiftleft(cast(63 - s as long), 26) + shiftleft(cast(e as long), 20) + coalesce(id, -1) + 1"
-    several = F.expr(f"if(e > s + 1, struct({key} as key, shiftleft(1L, s) + shiftleft(1L, e) as ends, shiftleft(1L, e) - shiftleft(2L, s) as within), null)")
-    return rows.groupBy(*by).agg(F.first("n").alias("n"), F.collect_list(several).alias("long"), F.collect_list(F.expr(f"if(e = s + 1, {key}, null)")).alias("short")).drop("h")
+        form = "struct<e: int, s: int, id: int, score: double>"
+    return edges(distinct, model, 2 if model.bpe else 1).select("unit", "n", edge.alias("edge")).mapInArrow(_gather, f"unit string, n long, edges array<{form}>")
+
+
+def _spelt(model: Model, c: Column) -> Column:
+    """The pieces of a character that is no piece: its bytes' or the unknown one."""
+    if not model.bytes:
+        return F.array(F.lit(model.unknown))
+    code = F.array(*map(F.lit, model.bytes))
+    return F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda k: F.element_at(code, F.conv(F.substring(F.hex(c), 2 * k + 1, F.lit(2)), 16, 10).cast("int") + 1))
 
 
 def folded(lattices: DataFrame, model: Model) -> DataFrame:
-    """``unit``, ``n``, ``ids``: each lattice's pieces; Viterbi by two folds (forward scores, then back)."""
-    n = F.length("unit")
-    if model.bytes:
-        code = F.array(*map(F.lit, model.bytes))
-        spell = lambda c: F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda k: F.element_at(code, F.conv(F.substring(F.hex(c), 2 * k + 1, F.lit(2)), 16, 10).cast("int") + 1))
-    else:
-        spell = lambda c: F.array(F.lit(model.unknown))
+    """``unit``, ``n``, ``ids``: each lattice's pieces; of a unigram model by two folds (forward scores, then back)."""
     if model.bpe:
-        return _merged(lattices, n, spell)
+        return _joined(_places(lattices), model)
+    n = F.length("unit")
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("o"), F.lit(-1).alias("id")))
     step = lambda acc, e: F.concat(acc, F.array(F.array_max(F.transform(F.filter("edges", lambda x: x["e"] == e), lambda x: F.struct((F.get(acc, x["s"])["score"] + x["score"]).alias("score"), (-x["s"]).alias("o"), x["id"].alias("id"))))))
-    best = lattices.withColumn("best", F.aggregate(F.sequence(F.lit(1), n), start, step))
-    begin = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
+    best = lattices.withColumn("best", F.transform(F.aggregate(F.sequence(F.lit(1), n), start, step), lambda x: F.struct((-x["o"]).alias("s"), x["id"].alias("id"))))
+    return best.select("unit", "n", _back(model, n))
+
+
+def _back(model: Model, n: Column) -> Column:
+    """The pieces of ``unit`` from ``best``: by end, struct(s, id) of the last piece."""
+    begin = F.struct(n.alias("at"), F.array().cast("array<array<int>>").alias("ids"))
 
     def back(st: Column, _: Column) -> Column:
         b = F.get(F.col("best"), st["at"])
-        here = F.when(b["id"] >= 0, F.array(b["id"])).otherwise(spell(F.substring(F.col("unit"), st["at"], F.lit(1))))
-        return F.when(st["at"] > 0, F.struct((-b["o"]).alias("at"), F.concat(here, st["ids"]).alias("ids"))).otherwise(st)
+        here = F.when(b["id"] >= 0, F.array(b["id"])).otherwise(_spelt(model, F.substring(F.col("unit"), st["at"], F.lit(1))))
+        return F.when(st["at"] > 0, F.struct(b["s"].alias("at"), F.concat(st["ids"], F.array(here)).alias("ids"))).otherwise(st)
 
-    return best.select("unit", "n", F.aggregate(F.sequence(F.lit(1), n), begin, back, lambda st: st["ids"]).alias("ids"))
+    return F.aggregate(F.sequence(F.lit(1), n), begin, back, lambda st: F.flatten(F.reverse(st["ids"]))).alias("ids")
 
 
 def _let(value: Column, body) -> Column:
@@ -195,46 +235,92 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _merged(lattices: DataFrame, n: Column, spell) -> DataFrame:
-    """Folds each lattice by merges: of the edges that span two present pieces, the best, until there is none.
+def _places(lattices: DataFrame) -> DataFrame:
+    """``lattices`` with ``at``, the places where pieces begin or end: merges of edges that span two present pieces, best first.
 
     The state is one number, a bit for each place (0 to n, at most ``FOLD``) where a piece still
     begins or ends; negated once no merge is left. An edge can merge if both its ends are such
-    places and one place lies within it; the merge takes that place away. The pieces are the
-    edges that have no place within them at the end.
+    places and one place lies within it; the merge takes that place away.
     """
     here = lambda x, at: at.bitwiseAND(x["ends"]) == x["ends"]
-    can = lambda at: F.filter("long", lambda x: (F.bit_count(at.bitwiseAND(x["within"])) == 1) & here(x, at))
+    can = lambda at: F.filter("edges", lambda x: (F.bit_count(at.bitwiseAND(x["within"])) == 1) & here(x, at))
     merge = lambda at: _let(F.array_max(can(at)), lambda best: F.coalesce(at - at.bitwiseAND(best["within"]), -at))
     step = lambda at, _: F.when(at < 0, at).otherwise(merge(at))
-    all_ = F.expr("shiftleft(1L, length(unit) + 1) - 1")
-    ends = lattices.withColumn("at", F.abs(F.aggregate(F.sequence(F.lit(1), n), all_, step)))
-    long = F.transform(F.filter("long", lambda x: (F.col("at").bitwiseAND(x["within"]) == 0) & here(x, F.col("at"))), lambda x: x["key"])
+    every = F.expr("shiftleft(1L, length(unit) + 1) - 1")
+    return lattices.withColumn("at", F.abs(F.aggregate(F.sequence(F.lit(1), F.length("unit")), every, step)))
+
+
+def _joined(rows: DataFrame, model: Model) -> DataFrame:
+    """``unit``, ``n``, ``ids``: the edges that have no place within them at the end, and the characters left alone."""
+    at = F.col("at")
+    left = F.filter("edges", lambda x: (at.bitwiseAND(x["within"]) == 0) & (at.bitwiseAND(x["ends"]) == x["ends"]))
     begin = lambda k: 63 - F.shiftright(k, 26).bitwiseAND(F.lit(63)).cast("int")
-    short = F.filter("short", lambda k: F.call_function("shiftright", F.col("at"), begin(k)).bitwiseAND(F.lit(3)) == 3)
-    found = F.transform(F.concat(long, short), lambda k: F.struct(begin(k).alias("s"), (k.bitwiseAND(F.lit(0xFFFFF)) - 1).cast("int").alias("id")))
-    ends = ends.select("unit", "n", F.array_sort(found).alias("found"))
-    return ends.select("unit", "n", F.flatten(F.transform("found", lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(spell(F.substring(F.col("unit"), x["s"] + 1, F.lit(1)))))).alias("ids"))
+    long = F.transform(left, lambda x: F.struct(begin(x["key"]).alias("s"), F.array((x["key"].bitwiseAND(F.lit(0xFFFFF)) - 1).cast("int")).alias("ids")))
+    single = F.filter(F.sequence(F.lit(0), F.length("unit") - 1), lambda s: F.call_function("shiftright", at, s).bitwiseAND(F.lit(3)) == 3)
+    chars = F.split(F.lit(",".join(map(str, model.chars))), ",").cast("array<int>")  # a constant of the plan
+
+    def alone(s: Column) -> Column:
+        c = F.substring(F.col("unit"), s + 1, F.lit(1))
+        id = F.coalesce(F.get(chars, F.ascii(c)), F.lit(-1))
+        return F.struct(s.alias("s"), F.when(id >= 0, F.array(id)).otherwise(_spelt(model, c)).alias("ids"))
+
+    short = F.when(at.bitwiseAND(F.shiftright(at, 1)) != 0, F.transform(single, alone)).otherwise(F.array().cast("array<struct<s: int, ids: array<int>>>"))
+    return rows.select("unit", "n", F.flatten(F.transform(F.array_sort(F.concat(long, short)), lambda x: x["ids"])).alias("ids"))
+
+
+def _folded_long(distinct: DataFrame, model: Model) -> DataFrame:
+    """``unit``, ``n``, ``ids`` of units of any length by a BPE model.
+
+    Pieces in a row are the encoding of their text if and only if each two neighbours are that of
+    theirs (merges within two neighbours come in one order, whatever is around them). So of the
+    edges that end at a place, just one is the last piece up to there: that which may follow the
+    last piece up to its start. Which two pieces may follow one another is folded as above, from
+    their two texts; the fold over places then keeps the last piece up to each, and goes back.
+    """
+    every = edges(distinct, model).select("unit", "n", "s", "e", "sub", F.coalesce("id", F.lit(-1)).alias("id"))
+    every = common.written(every, "edges")
+    a = every.select("unit", F.col("s").alias("r"), F.col("e").alias("s"), F.col("sub").alias("one"))
+    pairs = every.join(a, ["unit", "s"]).select("unit", "r", "s", "e", "one", F.col("sub").alias("two"))
+    both = pairs.select("one", "two").distinct().withColumn("unit", F.concat("one", "two"))
+    places = _places(lattice(both.select("unit").distinct().withColumn("n", F.lit(0).cast("long")), model)).select("unit", "at")
+    stay = F.expr("1 + shiftleft(1L, length(one)) + shiftleft(1L, length(unit))")
+    both = both.join(places, "unit").filter(F.col("at") == stay).select("one", "two")
+    follow = pairs.join(both, ["one", "two"]).groupBy("unit", "s", "e").agg(F.collect_set("r").alias("after"))
+    known = every.join(follow, ["unit", "s", "e"], "left").withColumn("after", F.when(F.col("s") == 0, F.array(F.lit(-1))).otherwise(F.col("after")))
+    ends = known.filter("after is not null").groupBy("unit", "e").agg(F.first("n").alias("n"), F.collect_list(F.struct("s", "id", "after")).alias("x"))
+    ends = ends.groupBy("unit").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("e", "x"))), lambda y: y["x"]).alias("ends"))
+    step = lambda acc, e: F.concat(acc, F.slice(F.transform(F.filter(F.get(F.col("ends"), e - 1), lambda x: F.array_contains(x["after"], F.get(acc, x["s"])["s"])), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))), 1, 1))
+    start = F.array(F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("id")))
+    best = ends.withColumn("best", F.aggregate(F.sequence(F.lit(1), F.length("unit")), start, step))
+    return best.select("unit", "n", _back(model, F.length("unit")))
 
 
 def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``unit``, ``n``, ``ids`` of every distinct unit of all texts, as a table in the shared folder."""
-    counts = docs.select(F.explode(units(F.col(text))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in _slices(b.column(0)):
+                units, codes, _ = split(t, model.prefix)
+                yield pa.RecordBatch.from_arrays([units, pa.array(np.bincount(codes, minlength=len(units)).astype(np.int64))], ["unit", "n"])
+            pa.default_memory_pool().release_unused()
+
+    counts = docs.select(text).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counts = common.written(counts, "units")
     # Units are short rows that take much work, so their count decides the tasks, not their bytes.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // TASK_UNITS))
-    short = folded(lattice(counts.filter(F.length("unit") <= FOLD).repartition(parts, "unit"), model), model)
-
-    def long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(ids=[model.encode_unit(u) for u in pdf["unit"]])
-
-    rest = counts.filter(F.length("unit") > FOLD).mapInPandas(long, "unit string, n long, ids array<int>")
-    return common.written(short.unionByName(rest), "encoded")
+    long = counts.filter(F.length("unit") > FOLD) if model.bpe else counts.limit(0)
+    short = counts.filter(F.length("unit") <= FOLD) if model.bpe else counts
+    out = folded(lattice(short.repartition(parts, "unit"), model), model)
+    if not long.isEmpty():
+        out = out.unionByName(_folded_long(long, model))
+    out = common.written(out, "encoded")
+    common.removed(counts)
+    return out
 
 
 def _hot(table: DataFrame) -> pa.Table:
-    """The most frequent units that are short, as many as ``HOT`` allows (all that occur c times, for the least such c)."""
+    """The most frequent units that are short, commonest first, as many as ``HOT`` allows (all that occur c times, for the least such c)."""
     able = table.filter(F.octet_length("unit") <= HOT_BYTES)
     counts = sorted(((r["n"], r["k"]) for r in able.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("k")).collect()), reverse=True)
     least, total = math.inf, 0
@@ -243,11 +329,13 @@ def _hot(table: DataFrame) -> pa.Table:
         if total > HOT:
             break
         least = n
-    found = able.filter(F.col("n") >= (least if least < math.inf else 2**62)).select("unit", "ids").toArrow()
-    return found.combine_chunks()
+    found = able.filter(F.col("n") >= (least if least < math.inf else 2**62)).select("unit", "n", "ids").toArrow()
+    return found.sort_by([("n", "descending"), ("unit", "ascending")]).select(["unit", "ids"]).combine_chunks()
 
 
 class _Known:
+    """The hot units of a broadcast table, and their pieces."""
+
     def __init__(self, blob: bytes) -> None:
         t = pa.ipc.open_stream(blob).read_all().combine_chunks()
         flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
@@ -255,13 +343,53 @@ class _Known:
         self.offset = ids.offsets.to_numpy().astype(np.int64)
         self.ids = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
 
+    def looked_up(self, texts: pa.Array, prefix: str) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        """Units' numbers of all texts in a row, each text's ends, and each text's other units.
+
+        A number under the table's size is a place in it; the rest are those of the text's other
+        units, in order of their first place in the text.
+        """
+        units, codes, ends = split(texts, prefix)
+        at = pc.index_in(units, value_set=self.unit).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        out, others = at[codes], []
+        for a, b in zip(ends[:-1], ends[1:]):
+            miss = np.flatnonzero(out[a:b] < 0) + a
+            if len(miss):
+                names, first, which = np.unique(codes[miss], return_index=True, return_inverse=True)
+                order = np.argsort(first)
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                out[miss] = len(self.unit) + place[which]
+                others.append(units.take(pa.array(names[order])))
+            else:
+                others.append(units.slice(0, 0))
+        return out, ends, others
+
+
+def _packed(at: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
+    """Numbers as three or more planes of bytes, compressed."""
+    if not len(at):
+        return b""
+    width = max(3, (int(at.max()).bit_length() + 7) // 8)
+    return bytes([width]) + z.compress(np.ascontiguousarray(at.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+
+
+def _unpacked(blob: bytes, d: zstandard.ZstdDecompressor) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(d.decompress(memoryview(blob)[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view("<i8").ravel()
+
 
 def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "text", key: str = "_ids") -> DataFrame:
-    """``docs`` with ``key``: array<int>, the pieces of each whole text. Null and empty texts have none.
+    """``docs``, all its columns, with ``key``: array<int>, the pieces of each whole text. Null and empty texts have none.
 
     Workers look frequent units up in a table of bounded size; the others of a text are joined on
-    the unit and gathered by text. Rows with equal id and text share their lookup. No row is lost
-    and no column is dropped. The decoded text differs from the text only if it holds U+2581.
+    the unit and gathered by text. Rows with equal id and text share their lookup; null ids and
+    texts are values like any other. No row is lost. A column of the name ``key`` is replaced. The
+    decoded text differs from the text only if it holds U+2581.
     """
     spark = docs.sparkSession
     model = Model(model_file)
@@ -271,91 +399,78 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
     with pa.ipc.new_stream(sink, hot.schema) as w:
         w.write_table(hot)
     known = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    row = F.xxhash64(F.col(id), F.col(text))
-
-    def looked_up(batch: pa.RecordBatch, k: _Known) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        lists = batch.column("u")
-        flat = lists.flatten()
-        at = pc.index_in(flat, value_set=k.unit).fill_null(-1).to_numpy(zero_copy_only=False)
-        return flat, at, np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
+    prefix = model.prefix
+    own = common.own_names(docs)
+    row = [F.xxhash64(F.col(id), F.col(text)), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = _Known(known.value)
         for b in batches:
-            flat, at, ends = looked_up(b, k)
-            miss = np.flatnonzero(at < 0)
-            doc = np.searchsorted(ends, miss, "right") - 1
-            got = pd.DataFrame({"k": b.column("k").to_numpy()[doc], "unit": flat.take(pa.array(miss)).to_pylist()}).drop_duplicates()
-            yield pa.RecordBatch.from_arrays([pa.array(got["k"].to_numpy(np.int64)), pa.array(got["unit"].to_list(), pa.string())], ["k", "unit"])
-            del flat, at, ends, miss, doc, got
-            pa.default_memory_pool().release_unused()
+            done = 0
+            for t in _slices(b.column("t")):
+                _, _, others = k.looked_up(t, prefix)
+                n = np.array([len(o) for o in others])
+                doc = pa.array(np.repeat(np.arange(len(t)) + done, n))
+                names = pa.concat_arrays(others) if others else pa.array([], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("k").take(doc), b.column("c").take(doc), pa.array(_ranges(np.zeros(len(n), np.int64), n).astype(np.int32)), names], ["k", "c", "j", "unit"])
+                done += len(t)
+            pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
 
-    cells = docs.select(row.alias("k"), units(F.col(text)).alias("u"))
-    missing = cells.mapInArrow(cold, "k long, unit string").join(table.select("unit", "ids"), "unit")
-    missing = missing.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("unit", "ids"))).alias("_cold")).withColumnRenamed("k", "_k2")
+    cells = docs.select(row[0].alias("k"), row[1].alias("c"), F.col(text).alias("t"))
+    missing = cells.mapInArrow(cold, "k long, c long, j int, unit string").join(table.select("unit", "ids"), "unit")
+    missing = missing.groupBy(F.col("k").alias(own("k2")), F.col("c").alias(own("c2"))).agg(F.transform(F.array_sort(F.collect_set(F.struct("j", "ids"))), lambda x: x["ids"]).alias(own("cold")))
 
     @F.arrow_udf("binary")
-    def skeleton(u: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def skeleton(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         k, z = _Known(known.value), zstandard.ZstdCompressor(level=3)
-        for lists in u:
-            flat, at, ends = looked_up(pa.RecordBatch.from_arrays([lists], ["u"]), k)
+        for b in batches:
             out = []
-            for a, b in zip(ends[:-1], ends[1:]):
-                i = at[a:b]
-                out.append(z.compress(_gathered(k, i).astype(np.int32).tobytes()) + json.dumps([flat[a + int(m)].as_py() for m in np.flatnonzero(i < 0)]).encode() if len(i) else b"")
-            del flat, at, ends
-            pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
+            for t in _slices(b):
+                at, ends, _ = k.looked_up(t, prefix)
+                out += [_packed(at[i:j], z) for i, j in zip(ends[:-1], ends[1:])]
+            pa.default_memory_pool().release_unused()
             yield pa.array(out, pa.binary())
 
     @F.arrow_udf("array<int>")
-    def filled(blobs: pa.Array, colds: pa.Array) -> pa.Array:
-        d, out = zstandard.ZstdDecompressor(), []
-        names, offset = colds.keys, colds.offsets.to_numpy()
-        flat, ends = colds.items.values.to_numpy(zero_copy_only=False), colds.items.offsets.to_numpy()
-        for r, blob in enumerate(blobs):
-            o = d.decompressobj()
-            ids = np.frombuffer(o.decompress(blob.as_buffer()), np.int32) if len(blob.as_buffer()) else np.zeros(0, np.int32)
-            gaps = np.flatnonzero(ids < 0)
-            if len(gaps):
-                at = {name: k for k, name in enumerate(names.slice(offset[r], offset[r + 1] - offset[r]).to_pylist(), offset[r])}
-                parts, last = [], 0
-                for g, name in zip(gaps, json.loads(o.unused_data)):
-                    k = at[name]
-                    parts += [ids[last:g], flat[ends[k] : ends[k + 1]]]
-                    last = g + 1
-                ids = np.concatenate([*parts, ids[last:]])
-            out.append(ids.astype(np.int32))
-        sizes = np.cumsum([0, *map(len, out)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-
-    rows = docs.withColumn("_k1", row).withColumn("_skeleton", skeleton(units(F.col(text))))
-    if text in rows.columns and key != text:
-        rows = rows.drop(text)
-    out = rows.join(missing, F.col("_k1") == F.col("_k2"), "left").withColumn(key, filled("_skeleton", "_cold"))
-    return out.drop("_k1", "_k2", "_skeleton", "_cold")
-
-
-def _gathered(k: _Known, at: np.ndarray) -> np.ndarray:
-    """The pieces of units ``at`` in a row; -1 for each unit that is not known."""
-    n = np.where(at < 0, 1, k.offset[at + 1] - k.offset[at])
-    ends = np.cumsum(n)
-    if not len(n) or not ends[-1]:
-        return np.zeros(0, np.int32)
-    within = np.arange(ends[-1]) - np.repeat(ends - n, n)
-    miss = np.repeat(at < 0, n)
-    place = np.where(miss, 0, np.repeat(np.where(at < 0, 0, k.offset[at]), n) + within)
-    return np.where(miss, -1, k.ids[np.minimum(place, max(0, len(k.ids) - 1))] if len(k.ids) else -1)
+    def filled(blobs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        k, d = _Known(known.value), zstandard.ZstdDecompressor()
+        n = len(k.unit)
+        for packed, colds in blobs:
+            first, last = colds.offsets.to_numpy()[:-1], colds.offsets.to_numpy()[1:]
+            lists = colds.values
+            begin, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+            start = np.concatenate([k.offset[:-1], len(k.ids) + begin[:-1]])
+            size = np.concatenate([np.diff(k.offset), np.diff(begin)])
+            ids = np.concatenate([k.ids, ids.astype(np.int32)])
+            out = []
+            for r, blob in enumerate(packed):
+                at = _unpacked(blob.as_py(), d)
+                at = np.where(at < n, at, at + first[r])
+                if len(at) and at.max() >= n + last[r]:
+                    raise ValueError("a unit's pieces are missing")
+                out.append(ids[_ranges(start[at], size[at])])
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
 
+    rows = docs.withColumns({own("k1"): row[0], own("c1"): row[1], own("packed"): skeleton(F.col(text))})
+    out = rows.join(missing, (F.col(own("k1")) == F.col(own("k2"))) & (F.col(own("c1")) == F.col(own("c2"))), "left")
+    return out.withColumn(key, filled(own("packed"), own("cold"))).drop(*map(own, ("k1", "c1", "k2", "c2", "packed", "cold")))
 
-def decoded(rows: DataFrame, model_file: str, ids: str = "_ids", key: str = "_decoded") -> DataFrame:
-    """``rows`` with ``key``: the text of the pieces in ``ids``; null ids give a null."""
-    model = Model(model_file)
 
-    @F.pandas_udf("string")
-    def text(v: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else model.decode(list(x)) for x in v], index=v.index, dtype=object)
+def decoded(rows: DataFrame, model_file: str, ids: str = "_ids", key: str = "_decoded") -> DataFrame:
+    """``rows`` with ``key``: the text of the pieces in ``ids``; null ids give a null, unknown and control pieces nothing.
 
-    return rows.withColumn(key, text(F.col(ids)))
+    Each piece's bytes are looked up in the model's table, byte pieces join to UTF-8 (what is not
+    UTF-8 becomes U+FFFD), and the first space goes where the model puts one. A piece that is null
+    or no number of the model's counts for nothing.
+    """
+    model = Model(model_file)
+    table = F.split(F.lit(",".join(model.spelt)), ",")  # a constant of the plan
+    spelt = F.array_join(F.transform(F.col(ids), lambda i: F.when(i >= 0, F.get(table, i))), "")
+    text = F.make_valid_utf8(F.unhex(spelt).cast("string"))
+    if model.prefix:
+        text = F.when(text.startswith(" "), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+    return rows.withColumn(key, text)
 
 
 def default_model() -> str:
