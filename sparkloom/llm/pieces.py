@@ -32,6 +32,8 @@ HOT, HOT_BYTES = 1 << 19, 64
 FOLD = 48
 #: Units that one task folds, about; bytes of text that a worker splits at a time, about.
 TASK_UNITS, SLICE = 50_000, 8 << 20
+#: Characters that end many words and are units of their own there.
+MARKS = frozenset(".,;:!?")
 
 
 class Model:
@@ -72,8 +74,9 @@ class Model:
         if across or 2 * self.longest > FOLD:
             raise ValueError(f"pieces reach across units or are over {FOLD // 2} characters: {across[:5]}")
         back = {i: b for b, i in enumerate(self.bytes or [])}
-        #: Each id's bytes as hexadecimal digits; of special pieces, none.
-        self.spelt = [f"{back[i]:02X}" if i in back else "" if special(i) else p.replace(SPACE, " ").encode().hex().upper() for i, p, _ in every]
+        #: Each id's text, and its bytes as hexadecimal digits; of special pieces, none.
+        self.text = ["" if special(i) else p.replace(SPACE, " ") for i, p, _ in every]
+        self.spelt = [f"{back[i]:02X}" if i in back else t.encode().hex().upper() for i, t in enumerate(self.text)]
         one = {ord(p): i for i, p, _ in self.pieces if len(p) == 1}
         #: The id of each character by its code point, -1 if it is no piece.
         self.chars = [one.get(c, -1) for c in range(max(one, default=0) + 1)]
@@ -96,24 +99,36 @@ def split(texts: pa.Array, prefix: str = SPACE) -> tuple[pa.Array, np.ndarray, n
         whole = np.add.reduceat(odd[at].astype(np.int64), first) > 0 if len(at) else np.zeros(0, bool)
     else:
         whole = np.ones(len(n), bool)
-    known: dict[str, int] = {}
-    codes, ends = [], [0]
-    for w in words.to_pylist():
-        codes += [known.setdefault(u, len(known)) for u in cut.findall(prefix + w)]
-        ends.append(len(codes))
+    # Most words are letters, or letters and one mark; a unit of letters only is never cut too little.
+    alpha = pc.utf8_is_alpha(words)
+    stem, last = pc.utf8_slice_codeunits(words, 0, -1), pc.utf8_slice_codeunits(words, -1)
+    mark = pc.and_(pc.and_not(pc.utf8_is_alpha(stem), alpha), pc.is_in(last, value_set=pa.array(sorted(MARKS))))
+    other = pc.invert(pc.or_(alpha, mark))
     where = np.flatnonzero(whole)
-    for t in texts.take(pa.array(where)).to_pylist():
-        codes += [known.setdefault(u, len(known)) for u in cut.findall(prefix + t.replace(" ", SPACE))] if t else []
-        ends.append(len(codes))
+    found = [cut.findall(prefix + w) for w in words.filter(other).to_pylist()]
+    found += [cut.findall(prefix + t.replace(" ", SPACE)) if t else [] for t in texts.take(pa.array(where)).to_pylist()]
+    put = lambda a: pc.binary_join_element_wise(prefix, a, "")
+    every = pa.concat_arrays([put(words.filter(alpha)), put(stem.filter(mark)), last.filter(mark), pa.array([u for f in found for u in f], pa.string())]).dictionary_encode()
+    code = every.indices.to_numpy(zero_copy_only=False)
+    alpha, mark, other = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (alpha, mark, other))
+    sizes = np.ones(len(words) + len(where), np.int64)
+    sizes[mark] = 2
+    other = np.concatenate([other, len(words) + np.arange(len(where))])
+    sizes[other] = [len(f) for f in found]
+    start = np.cumsum(sizes) - sizes
+    codes = np.empty(int(sizes.sum()), np.int32)
+    codes[start[alpha]], code = code[: len(alpha)], code[len(alpha) :]
+    codes[start[mark]], code = code[: len(mark)], code[len(mark) :]
+    codes[start[mark] + 1], code = code[: len(mark)], code[len(mark) :]
+    codes[_ranges(start[other], sizes[other])] = code
     # A text split as a whole counts as one word of its own.
     keep = np.repeat(~whole, n)
     keep[first[where]] = True
     at[first[where]] = len(words) + np.arange(len(where))
     at, n = at[keep], np.where(whole, 1, n)
-    codes, ends = np.array(codes, np.int64), np.array(ends, np.int64)
-    size = (ends[1:] - ends[:-1])[at]
-    out = codes[_ranges(ends[at], size)] if len(codes) else np.zeros(0, np.int64)
-    return pa.array(list(known), pa.string()), out, np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+    size = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+    return every.dictionary, codes[_ranges(start[at], size)], ends
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -132,31 +147,6 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
         at = to
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, n, edge) to one for each run of a unit, with the list of its edges that are not null."""
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([held, b] if held is not None else [b]).combine_chunks().to_batches()[0]
-        run = pc.run_end_encode(t.column("unit")).run_ends.to_numpy()
-        start = int(run[-2]) if len(run) > 1 else 0  # the last run may go on
-        held = t.slice(start)
-        if start:
-            yield _runs(t.slice(0, start), run[:-1])
-    if held is not None:
-        yield _runs(held, np.array([held.num_rows]))
-
-
-def _runs(t: pa.RecordBatch, run: np.ndarray) -> pa.RecordBatch:
-    edge = t.column("edge")
-    there = edge.is_valid()
-    ends = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[np.concatenate([[0], run])].astype(np.int32)
-    lasts = pa.array(run - 1)
-    lists = pa.ListArray.from_arrays(pa.array(ends), edge.filter(there))
-    return pa.RecordBatch.from_arrays([t.column("unit").take(lasts), t.column("n").take(lasts), lists], ["unit", "n", "edges"])
-
-
 def _table(spark: SparkSession, model: Model) -> DataFrame:
     rank = {s: k for k, s in enumerate(sorted({s for *_, s in model.pieces}))}
     rows = [(p, i, float(s), rank[s]) for i, p, s in model.pieces]
@@ -164,12 +154,12 @@ def _table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def edges(distinct: DataFrame, model: Model, least: int = 1) -> DataFrame:
-    """``unit``, ``n``, ``s``, ``e``, ``sub``, ``piece``, ``id``, ``score``, ``rank``: substrings of each unit of
-    ``distinct`` (unit, n) that are pieces, of ``least`` characters at least, and the first ``least`` - 1 (piece null).
+    """``unit``, ``n``, ``s``, ``e``, ``sub``, ``piece``, ``id``, ``score``, ``rank``: substrings of ``least`` or more
+    characters of each unit of ``distinct`` (unit, n) that are pieces; and each unit's first character, if ``least`` is 1 all.
 
     Two plain explodes and a projection are compiled. The table is the model's, of fixed size. The
     one equal key is a number, which Spark looks up far faster than a text; that each begins with
-    the other is the exact check. All rows of a unit stay neighbours.
+    the other is the exact check.
     """
     rows = distinct.select("unit", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("unit") - least))).alias("s"))
     low = F.when(F.col("s") == 0, F.lit(1)).otherwise(F.col("s") + least)
@@ -187,16 +177,17 @@ def lattice(distinct: DataFrame, model: Model) -> DataFrame:
     that is no piece has an edge with id -1. BPE models: struct(key, ends, within) of pieces of
     several characters. A key is a number: the score's rank, 63 - s, e and id + 1 in 24, 6, 6 and 20
     bits, so that the greatest is the best, then leftmost; ``ends`` has the bits s and e, ``within``
-    those between. A unit's edges are neighbours already, so grouping them takes neither shuffle nor sort.
+    those between. Exploding and joining leave the units where ``distinct`` has them: grouping by
+    unit takes no shuffle if it is dealt by unit.
     """
     if model.bpe:
         key = "shiftleft(rank, 32) + shiftleft(cast(63 - s as long), 26) + shiftleft(cast(e as long), 20) + id + 1"
         edge = F.expr(f"if(piece is not null and e > s + 1, struct({key} as key, shiftleft(1L, s) + shiftleft(1L, e) as ends, shiftleft(1L, e) - shiftleft(2L, s) as within), null)")
-        form = "struct<key: long, ends: long, within: long>"
     else:
         edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.unknown_score)).alias("score"))
-        form = "struct<e: int, s: int, id: int, score: double>"
-    return edges(distinct, model, 2 if model.bpe else 1).select("unit", "n", edge.alias("edge")).mapInArrow(_gather, f"unit string, n long, edges array<{form}>")
+    rows = edges(distinct, model, 2 if model.bpe else 1).withColumn("h", F.xxhash64("unit"))
+    # Sorted by the hash first: short to compare.
+    return rows.groupBy("h", "unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges")).drop("h")
 
 
 def _spelt(model: Model, c: Column) -> Column:
@@ -343,27 +334,25 @@ class _Known:
         self.offset = ids.offsets.to_numpy().astype(np.int64)
         self.ids = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
 
-    def looked_up(self, texts: pa.Array, prefix: str) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
-        """Units' numbers of all texts in a row, each text's ends, and each text's other units.
+    def looked_up(self, texts: pa.Array, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Units' numbers of all texts in a row, where each text's end, and the other units: text, number in it, unit.
 
-        A number under the table's size is a place in it; the rest are those of the text's other
-        units, in order of their first place in the text.
+        A number under the table's size is a place in it; from there on the text's other units are
+        numbered by their first place in it.
         """
         units, codes, ends = split(texts, prefix)
-        at = pc.index_in(units, value_set=self.unit).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        out, others = at[codes], []
-        for a, b in zip(ends[:-1], ends[1:]):
-            miss = np.flatnonzero(out[a:b] < 0) + a
-            if len(miss):
-                names, first, which = np.unique(codes[miss], return_index=True, return_inverse=True)
-                order = np.argsort(first)
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                out[miss] = len(self.unit) + place[which]
-                others.append(units.take(pa.array(names[order])))
-            else:
-                others.append(units.slice(0, 0))
-        return out, ends, others
+        at = pc.index_in(units, value_set=self.unit).fill_null(-1).to_numpy(zero_copy_only=False)
+        out = at[codes]
+        miss = np.flatnonzero(out < 0)
+        doc = np.searchsorted(ends, miss, "right") - 1
+        _, first, which = np.unique(doc * len(units) + codes[miss], return_index=True, return_inverse=True)
+        order = np.argsort(first)  # by text, then first place
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        doc = doc[first[order]]
+        j = np.arange(len(order)) - np.searchsorted(doc, doc)
+        out[miss] = len(self.unit) + j[rank[which]]
+        return out, ends, doc, j, units.take(pa.array(codes[miss[first[order]]]))
 
 
 def _packed(at: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
@@ -408,11 +397,9 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
         for b in batches:
             done = 0
             for t in _slices(b.column("t")):
-                _, _, others = k.looked_up(t, prefix)
-                n = np.array([len(o) for o in others])
-                doc = pa.array(np.repeat(np.arange(len(t)) + done, n))
-                names = pa.concat_arrays(others) if others else pa.array([], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column("k").take(doc), b.column("c").take(doc), pa.array(_ranges(np.zeros(len(n), np.int64), n).astype(np.int32)), names], ["k", "c", "j", "unit"])
+                *_, doc, j, names = k.looked_up(t, prefix)
+                doc = pa.array(doc + done)
+                yield pa.RecordBatch.from_arrays([b.column("k").take(doc), b.column("c").take(doc), pa.array(j.astype(np.int32)), names], ["k", "c", "j", "unit"])
                 done += len(t)
             pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
 
@@ -426,7 +413,7 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
         for b in batches:
             out = []
             for t in _slices(b):
-                at, ends, _ = k.looked_up(t, prefix)
+                at, ends, *_ = k.looked_up(t, prefix)
                 out += [_packed(at[i:j], z) for i, j in zip(ends[:-1], ends[1:])]
             pa.default_memory_pool().release_unused()
             yield pa.array(out, pa.binary())
@@ -465,9 +452,11 @@ def decoded(rows: DataFrame, model_file: str, ids: str = "_ids", key: str = "_de
     or no number of the model's counts for nothing.
     """
     model = Model(model_file)
-    table = F.split(F.lit(",".join(model.spelt)), ",")  # a constant of the plan
-    spelt = F.array_join(F.transform(F.col(ids), lambda i: F.when(i >= 0, F.get(table, i))), "")
-    text = F.make_valid_utf8(F.unhex(spelt).cast("string"))
+    table = lambda texts: F.split(F.lit("\0".join(texts)), "\0")  # noqa: E731  a constant of the plan
+    joined = lambda texts: F.array_join(F.transform(F.col(ids), lambda i: F.when(i >= 0, F.get(table(texts), i))), "")
+    text = joined(model.text)
+    if model.bytes:  # few texts have byte pieces, and digits take longer
+        text = F.when(F.arrays_overlap(F.col(ids), F.array(*map(F.lit, model.bytes))), F.make_valid_utf8(F.unhex(joined(model.spelt)).cast("string"))).otherwise(text)
     if model.prefix:
         text = F.when(text.startswith(" "), F.substring(text, 2, 2**31 - 1)).otherwise(text)
     return rows.withColumn(key, text)
