@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -43,6 +44,12 @@ def removed(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of frames that are no longer referenced: its cleaner waits for a collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def own_names(*frames: DataFrame):
     """A function from a short name to one that no column of ``frames`` has (case aside)."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -32,6 +32,8 @@ HOT, HOT_BYTES = 1 << 19, 64
 FOLD = 48
 #: Units that one task folds, about; bytes of text that a worker splits at a time, about.
 TASK_UNITS, SLICE = 50_000, 8 << 20
+#: Code points in a row of the table of single characters.
+CELL = 16
 #: Characters that end many words and are units of their own there.
 MARKS = frozenset(".,;:!?")
 
@@ -74,12 +76,13 @@ class Model:
         if across or 2 * self.longest > FOLD:
             raise ValueError(f"pieces reach across units or are over {FOLD // 2} characters: {across[:5]}")
         back = {i: b for b, i in enumerate(self.bytes or [])}
-        #: Each id's text, and its bytes as hexadecimal digits; of special pieces, none.
-        self.text = ["" if special(i) else p.replace(SPACE, " ") for i, p, _ in every]
-        self.spelt = [f"{back[i]:02X}" if i in back else t.encode().hex().upper() for i, t in enumerate(self.text)]
+        #: Each id's bytes; of special pieces, none.
+        self.spelt = [bytes([back[i]]) if i in back else b"" if special(i) else p.replace(SPACE, " ").encode() for i, p, _ in every]
         one = {ord(p): i for i, p, _ in self.pieces if len(p) == 1}
-        #: The id of each character by its code point, -1 if it is no piece.
-        self.chars = [one.get(c, -1) for c in range(max(one, default=0) + 1)]
+        rows = sorted({c // CELL for c in one})
+        #: The ids of characters that are pieces (-1 for others): rows of ``CELL`` code points, and each row's number.
+        self.rows = [rows.index(r) if r in rows else -1 for r in range(max(rows, default=0) + 1)]
+        self.chars = [one.get(r * CELL + c, -1) for r in rows for c in range(CELL)]
 
 
 def split(texts: pa.Array, prefix: str = SPACE) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -238,7 +241,7 @@ def _places(lattices: DataFrame) -> DataFrame:
     merge = lambda at: _let(F.array_max(can(at)), lambda best: F.coalesce(at - at.bitwiseAND(best["within"]), -at))
     step = lambda at, _: F.when(at < 0, at).otherwise(merge(at))
     every = F.expr("shiftleft(1L, length(unit) + 1) - 1")
-    return lattices.withColumn("at", F.abs(F.aggregate(F.sequence(F.lit(1), F.length("unit")), every, step)))
+    return lattices.withColumn("at", F.abs(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("unit") - 1, F.lit(1))), every, step)))
 
 
 def _joined(rows: DataFrame, model: Model) -> DataFrame:
@@ -248,11 +251,12 @@ def _joined(rows: DataFrame, model: Model) -> DataFrame:
     begin = lambda k: 63 - F.shiftright(k, 26).bitwiseAND(F.lit(63)).cast("int")
     long = F.transform(left, lambda x: F.struct(begin(x["key"]).alias("s"), F.array((x["key"].bitwiseAND(F.lit(0xFFFFF)) - 1).cast("int")).alias("ids")))
     single = F.filter(F.sequence(F.lit(0), F.length("unit") - 1), lambda s: F.call_function("shiftright", at, s).bitwiseAND(F.lit(3)) == 3)
-    chars = F.split(F.lit(",".join(map(str, model.chars))), ",").cast("array<int>")  # a constant of the plan
+    rows_, chars = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>") for x in (model.rows, model.chars))  # constants of the plan
 
     def alone(s: Column) -> Column:
         c = F.substring(F.col("unit"), s + 1, F.lit(1))
-        id = F.coalesce(F.get(chars, F.ascii(c)), F.lit(-1))
+        row = F.coalesce(F.get(rows_, F.floor(F.ascii(c) / CELL).cast("int")), F.lit(-1))
+        id = F.when(row >= 0, F.get(chars, row * CELL + F.ascii(c) % CELL)).otherwise(-1)
         return F.struct(s.alias("s"), F.when(id >= 0, F.array(id)).otherwise(_spelt(model, c)).alias("ids"))
 
     short = F.when(at.bitwiseAND(F.shiftright(at, 1)) != 0, F.transform(single, alone)).otherwise(F.array().cast("array<struct<s: int, ids: array<int>>>"))
@@ -307,6 +311,8 @@ def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFram
         out = out.unionByName(_folded_long(long, model))
     out = common.written(out, "encoded")
     common.removed(counts)
+    del counts, short, long
+    common.released(docs.sparkSession)
     return out
 
 
@@ -447,19 +453,31 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
 def decoded(rows: DataFrame, model_file: str, ids: str = "_ids", key: str = "_decoded") -> DataFrame:
     """``rows`` with ``key``: the text of the pieces in ``ids``; null ids give a null, unknown and control pieces nothing.
 
-    Each piece's bytes are looked up in the model's table, byte pieces join to UTF-8 (what is not
-    UTF-8 becomes U+FFFD), and the first space goes where the model puts one. A piece that is null
-    or no number of the model's counts for nothing.
+    Batches of ids are joined to the model's table by number, and each text's bytes put together:
+    byte pieces join to UTF-8 (what is not UTF-8 becomes U+FFFD), and the first space goes where
+    the model puts one. An id that is null or no number of the model's counts for nothing.
     """
     model = Model(model_file)
-    table = lambda texts: F.split(F.lit("\0".join(texts)), "\0")  # noqa: E731  a constant of the plan
-    joined = lambda texts: F.array_join(F.transform(F.col(ids), lambda i: F.when(i >= 0, F.get(table(texts), i))), "")
-    text = joined(model.text)
-    if model.bytes:  # few texts have byte pieces, and digits take longer
-        text = F.when(F.arrays_overlap(F.col(ids), F.array(*map(F.lit, model.bytes))), F.make_valid_utf8(F.unhex(joined(model.spelt)).cast("string"))).otherwise(text)
-    if model.prefix:
-        text = F.when(text.startswith(" "), F.substring(text, 2, 2**31 - 1)).otherwise(text)
-    return rows.withColumn(key, text)
+    table, prefix = [*model.spelt, b""], model.prefix
+
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        spelt = pa.array(table, pa.binary())
+        for b in batches:
+            flat = b.flatten().fill_null(-1)
+            place = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, len(table) - 1)
+            n = pc.list_value_length(b).fill_null(0).to_numpy(zero_copy_only=False)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), spelt.take(place))
+            out = pc.binary_join(lists, b"")
+            if prefix:
+                out = pc.if_else(pc.starts_with(out, b" "), pc.binary_slice(out, 1), out)
+            try:
+                out = out.cast(pa.string())
+            except pa.ArrowInvalid:
+                out = pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
+            yield pc.if_else(b.is_valid(), out, None)
+
+    return rows.withColumn(key, text(F.col(ids)))
 
 
 def default_model() -> str:
