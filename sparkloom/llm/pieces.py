@@ -469,12 +469,12 @@ def decoded(rows: DataFrame, model_file: str, ids: str = "_ids", key: str = "_de
             n = pc.list_value_length(b).fill_null(0).to_numpy(zero_copy_only=False)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), spelt.take(place))
             out = pc.binary_join(lists, b"")
-            if prefix:
-                out = pc.if_else(pc.starts_with(out, b" "), pc.binary_slice(out, 1), out)
             try:
                 out = out.cast(pa.string())
             except pa.ArrowInvalid:
                 out = pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
+            if prefix:
+                out = pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out)
             yield pc.if_else(b.is_valid(), out, None)
 
     return rows.withColumn(key, text(F.col(ids)))
