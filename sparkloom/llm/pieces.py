@@ -31,7 +31,7 @@ HOT, HOT_BYTES = 1 << 19, 64
 #: Characters of a unit that one number's bits serve; longer units take the other fold.
 FOLD = 48
 #: Units that one task folds, about; bytes of text that a worker splits at a time, about.
-TASK_UNITS, SLICE = 50_000, 8 << 20
+TASK_UNITS, SLICE = 50_000, 4 << 20
 #: Code points in a row of the table of single characters.
 CELL = 16
 #: Characters that end many words and are units of their own there.
@@ -137,16 +137,21 @@ def split(texts: pa.Array, prefix: str = SPACE) -> tuple[pa.Array, np.ndarray, n
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ..., ``size`` of them, for each in a row."""
     ends = np.cumsum(size)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+    out = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32 if len(ends) and max(ends[-1], start.max()) < 1 << 31 else np.int64)
+    out += np.repeat((start - (ends - size)).astype(out.dtype), size)
+    return out
+
 
+def _lengths(texts: pa.Array) -> np.ndarray:
+    return np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Runs of about ``SLICE`` bytes, a text at least."""
-    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+
+def _slices(rows: pa.Array, ends: np.ndarray, most: int) -> Iterator[pa.Array]:
+    """Runs of rows that hold at most ``most`` by their ``ends``, or one row."""
     at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
-        yield texts.slice(at, to - at)
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield rows.slice(at, to - at)
         at = to
 
 
@@ -295,7 +300,7 @@ def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in _slices(b.column(0)):
+            for t in _slices(b.column(0), _lengths(b.column(0)), SLICE):
                 units, codes, _ = split(t, model.prefix)
                 yield pa.RecordBatch.from_arrays([units, pa.array(np.bincount(codes, minlength=len(units)).astype(np.int64))], ["unit", "n"])
             pa.default_memory_pool().release_unused()
@@ -402,48 +407,47 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
         k = _Known(known.value)
         for b in batches:
             done = 0
-            for t in _slices(b.column("t")):
+            for t in _slices(b.column("t"), _lengths(b.column("t")), SLICE):
                 *_, doc, j, names = k.looked_up(t, prefix)
                 doc = pa.array(doc + done)
                 yield pa.RecordBatch.from_arrays([b.column("k").take(doc), b.column("c").take(doc), pa.array(j.astype(np.int32)), names], ["k", "c", "j", "unit"])
                 done += len(t)
-            pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
+            pa.default_memory_pool().release_unused()
 
     cells = docs.select(row[0].alias("k"), row[1].alias("c"), F.col(text).alias("t"))
     missing = cells.mapInArrow(cold, "k long, c long, j int, unit string").join(table.select("unit", "ids"), "unit")
     missing = missing.groupBy(F.col("k").alias(own("k2")), F.col("c").alias(own("c2"))).agg(F.transform(F.array_sort(F.collect_set(F.struct("j", "ids"))), lambda x: x["ids"]).alias(own("cold")))
 
     @F.arrow_udf("binary")
-    def skeleton(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        k, z = _Known(known.value), zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            out = []
-            for t in _slices(b):
-                at, ends, *_ = k.looked_up(t, prefix)
-                out += [_packed(at[i:j], z) for i, j in zip(ends[:-1], ends[1:])]
-            pa.default_memory_pool().release_unused()
-            yield pa.array(out, pa.binary())
+    def skeleton(b: pa.Array) -> pa.Array:
+        k, z, out = _Known(known.value), zstandard.ZstdCompressor(level=3), []
+        for t in _slices(b, _lengths(b), SLICE):
+            at, ends, *_ = k.looked_up(t, prefix)
+            out += [_packed(at[i:j], z) for i, j in zip(ends[:-1], ends[1:])]
+            del at, ends, _
+        pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
+        return pa.array(out, pa.binary())
 
     @F.arrow_udf("array<int>")
-    def filled(blobs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        k, d = _Known(known.value), zstandard.ZstdDecompressor()
+    def filled(packed: pa.Array, colds: pa.Array) -> pa.Array:
+        k, d, out = _Known(known.value), zstandard.ZstdDecompressor(), []
         n = len(k.unit)
-        for packed, colds in blobs:
-            first, last = colds.offsets.to_numpy()[:-1], colds.offsets.to_numpy()[1:]
-            lists = colds.values
-            begin, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
-            start = np.concatenate([k.offset[:-1], len(k.ids) + begin[:-1]])
-            size = np.concatenate([np.diff(k.offset), np.diff(begin)])
-            ids = np.concatenate([k.ids, ids.astype(np.int32)])
-            out = []
-            for r, blob in enumerate(packed):
-                at = _unpacked(blob.as_py(), d)
-                at = np.where(at < n, at, at + first[r])
-                if len(at) and at.max() >= n + last[r]:
-                    raise ValueError("a unit's pieces are missing")
-                out.append(ids[_ranges(start[at], size[at])])
-            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+        first, last = colds.offsets.to_numpy()[:-1], colds.offsets.to_numpy()[1:]
+        lists = colds.values
+        begin, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+        start = np.concatenate([k.offset[:-1], len(k.ids) + begin[:-1]])
+        size = np.concatenate([np.diff(k.offset), np.diff(begin)])
+        ids = np.concatenate([k.ids, ids.astype(np.int32)])
+        for r, blob in enumerate(packed):
+            at = _unpacked(blob.as_py(), d)
+            at = np.where(at < n, at, at + first[r])
+            if len(at) and at.max() >= n + last[r]:
+                raise ValueError("a unit's pieces are missing")
+            out.append(ids[_ranges(start[at], size[at])])
+        ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+        out = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+        pa.default_memory_pool().release_unused()
+        return out
 
     rows = docs.withColumns({own("k1"): row[0], own("c1"): row[1], own("packed"): skeleton(F.col(text))})
     out = rows.join(missing, (F.col(own("k1")) == F.col(own("k2"))) & (F.col(own("c1")) == F.col(own("c2"))), "left")
@@ -460,22 +464,28 @@ def decoded(rows: DataFrame, model_file: str, ids: str = "_ids", key: str = "_de
     model = Model(model_file)
     table, prefix = [*model.spelt, b""], model.prefix
 
+    def joined(b: pa.Array, spelt: pa.Array) -> pa.Array:
+        flat = b.flatten().fill_null(-1)
+        place = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, len(table) - 1)
+        n = pc.list_value_length(b).fill_null(0).to_numpy(zero_copy_only=False)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), spelt.take(place))
+        out = pc.binary_join(lists, b"")
+        try:
+            out = out.cast(pa.string())
+        except pa.ArrowInvalid:
+            out = pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
+        return pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out) if prefix else out
+
     @F.arrow_udf("string")
-    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        spelt = pa.array(table, pa.binary())
-        for b in batches:
-            flat = b.flatten().fill_null(-1)
-            place = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, len(table) - 1)
-            n = pc.list_value_length(b).fill_null(0).to_numpy(zero_copy_only=False)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), spelt.take(place))
-            out = pc.binary_join(lists, b"")
-            try:
-                out = out.cast(pa.string())
-            except pa.ArrowInvalid:
-                out = pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
-            if prefix:
-                out = pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out)
-            yield pc.if_else(b.is_valid(), out, None)
+    def text(b: pa.Array) -> pa.Array:
+        spelt, out = pa.array(table, pa.binary()), []
+        ends = np.cumsum(pc.list_value_length(b).fill_null(0).to_numpy(zero_copy_only=False))
+        for x in _slices(b, ends, SLICE // 8):
+            out.append(joined(x, spelt))
+            del x
+        out = pc.if_else(b.is_valid(), pa.concat_arrays(out) if out else pa.array([], pa.string()), None)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return rows.withColumn(key, text(F.col(ids)))
 
