@@ -45,8 +45,12 @@ def removed(table: DataFrame) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Has Spark remove the shuffle files of frames that are no longer referenced: its cleaner waits for a collection."""
+    """Has Spark remove the shuffle files of frames that are no longer referenced: its cleaner waits for a collection.
+
+    Spark keeps the last query, so one row is counted first.
+    """
     gc.collect()
+    spark.range(1).count()
     spark._jvm.System.gc()
 
 

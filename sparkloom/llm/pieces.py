@@ -321,8 +321,8 @@ def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     return out
 
 
-def _hot(table: DataFrame) -> pa.Table:
-    """The most frequent units that are short, commonest first, as many as ``HOT`` allows (all that occur c times, for the least such c)."""
+def _hot(table: DataFrame) -> tuple[pa.Table, DataFrame]:
+    """The most frequent units that are short, commonest first, as many as ``HOT`` allows (all that occur c times, for the least such c); and the others."""
     able = table.filter(F.octet_length("unit") <= HOT_BYTES)
     counts = sorted(((r["n"], r["k"]) for r in able.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("k")).collect()), reverse=True)
     least, total = math.inf, 0
@@ -331,8 +331,9 @@ def _hot(table: DataFrame) -> pa.Table:
         if total > HOT:
             break
         least = n
-    found = able.filter(F.col("n") >= (least if least < math.inf else 2**62)).select("unit", "n", "ids").toArrow()
-    return found.sort_by([("n", "descending"), ("unit", "ascending")]).select(["unit", "ids"]).combine_chunks()
+    hot = (F.octet_length("unit") <= HOT_BYTES) & (F.col("n") >= (least if least < math.inf else 2**62))
+    found = table.filter(hot).select("unit", "n", "ids").toArrow()
+    return found.sort_by([("n", "descending"), ("unit", "ascending")]).select(["unit", "ids"]).combine_chunks(), table.filter(~hot)
 
 
 class _Known:
@@ -345,42 +346,53 @@ class _Known:
         self.offset = ids.offsets.to_numpy().astype(np.int64)
         self.ids = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
 
-    def looked_up(self, texts: pa.Array, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Units' numbers of all texts in a row, where each text's end, and the other units: text, number in it, unit.
+    def looked_up(self, texts: pa.Array, prefix: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+        """For slices of the texts: units' numbers in a row, where each text's end, and the other units: text, number in it, unit.
 
         A number under the table's size is a place in it; from there on the text's other units are
-        numbered by their first place in it.
+        numbered by their first place in it. Looking up makes a table of all hot units, so the
+        units of all slices are looked up at once.
         """
-        units, codes, ends = split(texts, prefix)
-        at = pc.index_in(units, value_set=self.unit).fill_null(-1).to_numpy(zero_copy_only=False)
-        out = at[codes]
-        miss = np.flatnonzero(out < 0)
-        doc = np.searchsorted(ends, miss, "right") - 1
-        _, first, which = np.unique(doc * len(units) + codes[miss], return_index=True, return_inverse=True)
-        order = np.argsort(first)  # by text, then first place
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        doc = doc[first[order]]
-        j = np.arange(len(order)) - np.searchsorted(doc, doc)
-        out[miss] = len(self.unit) + j[rank[which]]
-        return out, ends, doc, j, units.take(pa.array(codes[miss[first[order]]]))
+        parts = [split(t, prefix) for t in _slices(texts, _lengths(texts), SLICE)]
+        if not parts:
+            return
+        places = pc.index_in(pa.concat_arrays([u for u, *_ in parts]), value_set=self.unit).fill_null(-1).to_numpy(zero_copy_only=False)
+        for units, codes, ends in parts:
+            at, places = places[: len(units)], places[len(units) :]
+            out = at[codes]
+            miss = np.flatnonzero(out < 0)
+            doc = np.searchsorted(ends, miss, "right") - 1
+            _, first, which = np.unique(doc * len(units) + codes[miss], return_index=True, return_inverse=True)
+            order = np.argsort(first)  # by text, then first place
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            doc = doc[first[order]]
+            j = np.arange(len(order)) - np.searchsorted(doc, doc)
+            out[miss] = len(self.unit) + j[rank[which]]
+            yield out, ends, doc, j, units.take(pa.array(codes[miss[first[order]]]))
 
 
 def _packed(at: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
-    """Numbers as three or more planes of bytes, compressed."""
+    """Numbers from 0, seven bits to a byte, low ones first, the last byte of each under 128; compressed."""
     if not len(at):
         return b""
-    width = max(3, (int(at.max()).bit_length() + 7) // 8)
-    return bytes([width]) + z.compress(np.ascontiguousarray(at.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    width = max(1, (int(at.max()).bit_length() + 6) // 7)
+    shifted = at[:, None].astype(np.int64) >> (7 * np.arange(width))
+    keep = shifted > 0
+    keep[:, 0] = True
+    bits = (shifted & 127).astype(np.uint8)
+    bits[:, :-1] |= (keep[:, 1:] * 128).astype(np.uint8)
+    return z.compress(bits[keep].tobytes())
 
 
 def _unpacked(blob: bytes, d: zstandard.ZstdDecompressor) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.int64)
-    planes = np.frombuffer(d.decompress(memoryview(blob)[1:]), np.uint8).reshape(blob[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : blob[0]] = planes.T
-    return out.view("<i8").ravel()
+    bits = np.frombuffer(d.decompress(blob), np.uint8)
+    last = np.flatnonzero(bits < 128)
+    first = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(len(bits)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((bits & 127).astype(np.int64) << (7 * place), first)
 
 
 def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "text", key: str = "_ids") -> DataFrame:
@@ -394,7 +406,7 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     model = Model(model_file)
     table = encoded_units(docs, model, text)
-    hot = _hot(table)
+    hot, others = _hot(table)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, hot.schema) as w:
         w.write_table(hot)
@@ -406,25 +418,27 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = _Known(known.value)
         for b in batches:
-            done = 0
-            for t in _slices(b.column("t"), _lengths(b.column("t")), SLICE):
-                *_, doc, j, names = k.looked_up(t, prefix)
+            _, once = np.unique(np.stack([b.column(x).to_numpy() for x in ("k", "c")]), axis=1, return_index=True)
+            b, done = b.take(pa.array(np.sort(once))), 0  # of repeated rows one
+            for _, ends, doc, j, names in k.looked_up(b.column("t"), prefix):
                 doc = pa.array(doc + done)
                 yield pa.RecordBatch.from_arrays([b.column("k").take(doc), b.column("c").take(doc), pa.array(j.astype(np.int32)), names], ["k", "c", "j", "unit"])
-                done += len(t)
+                done += len(ends) - 1
             pa.default_memory_pool().release_unused()
 
     cells = docs.select(row[0].alias("k"), row[1].alias("c"), F.col(text).alias("t"))
-    missing = cells.mapInArrow(cold, "k long, c long, j int, unit string").join(table.select("unit", "ids"), "unit")
-    missing = missing.groupBy(F.col("k").alias(own("k2")), F.col("c").alias(own("c2"))).agg(F.transform(F.array_sort(F.collect_set(F.struct("j", "ids"))), lambda x: x["ids"]).alias(own("cold")))
+    small = "array<smallint>" if len(model.spelt) <= 1 << 15 else "array<int>"
+    missing = cells.mapInArrow(cold, "k long, c long, j int, unit string").join(others.select("unit", F.col("ids").cast(small).alias("ids")), "unit")
+    # Dealt by text before any grouping: a text's units come from everywhere, so there is little to group before.
+    missing = missing.drop("unit").repartition("k", "c").groupBy(F.col("k").alias(own("k2")), F.col("c").alias(own("c2")))
+    missing = common.written(missing.agg(F.transform(F.array_sort(F.collect_set(F.struct("j", "ids"))), lambda x: x["ids"]).alias(own("cold"))), "missing")
+    common.released(spark)
 
     @F.arrow_udf("binary")
     def skeleton(b: pa.Array) -> pa.Array:
         k, z, out = _Known(known.value), zstandard.ZstdCompressor(level=3), []
-        for t in _slices(b, _lengths(b), SLICE):
-            at, ends, *_ = k.looked_up(t, prefix)
+        for at, ends, *_ in k.looked_up(b, prefix):
             out += [_packed(at[i:j], z) for i, j in zip(ends[:-1], ends[1:])]
-            del at, ends, _
         pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
         return pa.array(out, pa.binary())
 
