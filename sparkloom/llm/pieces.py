@@ -31,7 +31,7 @@ HOT, HOT_BYTES = 1 << 19, 64
 #: Characters of a unit that one number's bits serve; longer units take the other fold.
 FOLD = 48
 #: Units that one task folds, about; bytes of text that a worker splits at a time, about.
-TASK_UNITS, SLICE = 50_000, 4 << 20
+TASK_UNITS, SLICE = 50_000, 3 << 20
 #: Code points in a row of the table of single characters.
 CELL = 16
 #: Characters that end many words and are units of their own there.
@@ -351,11 +351,12 @@ class _Known:
 
         A number under the table's size is a place in it; from there on the text's other units are
         numbered by their first place in it. Looking up makes a table of all hot units, so the
-        units of all slices are looked up at once.
+        units of several slices are looked up at once.
         """
-        parts = [split(t, prefix) for t in _slices(texts, _lengths(texts), SLICE)]
-        if not parts:
-            return
+        for some in _slices(texts, _lengths(texts), 4 * SLICE):
+            yield from self._looked_up([split(t, prefix) for t in _slices(some, _lengths(some), SLICE)])
+
+    def _looked_up(self, parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
         places = pc.index_in(pa.concat_arrays([u for u, *_ in parts]), value_set=self.unit).fill_null(-1).to_numpy(zero_copy_only=False)
         for units, codes, ends in parts:
             at, places = places[: len(units)], places[len(units) :]
@@ -419,7 +420,7 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
         k = _Known(known.value)
         for b in batches:
             _, once = np.unique(np.stack([b.column(x).to_numpy() for x in ("k", "c")]), axis=1, return_index=True)
-            b, done = b.take(pa.array(np.sort(once))), 0  # of repeated rows one
+            b, done = b if len(once) == b.num_rows else b.take(pa.array(np.sort(once))), 0  # of repeated rows one
             for _, ends, doc, j, names in k.looked_up(b.column("t"), prefix):
                 doc = pa.array(doc + done)
                 yield pa.RecordBatch.from_arrays([b.column("k").take(doc), b.column("c").take(doc), pa.array(j.astype(np.int32)), names], ["k", "c", "j", "unit"])
