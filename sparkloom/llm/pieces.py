@@ -373,35 +373,68 @@ class _Known:
             yield out, ends, doc, j, units.take(pa.array(codes[miss[first[order]]]))
 
 
-def _packed(at: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
-    """Numbers from 0, seven bits to a byte, low ones first, the last byte of each under 128; compressed."""
+def _packed(at: np.ndarray, ends: np.ndarray, z: zstandard.ZstdCompressor) -> list[bytes]:
+    """Each text's numbers from 0, seven bits to a byte, low ones first, the last byte of each under 128; compressed."""
     if not len(at):
-        return b""
+        return [b""] * (len(ends) - 1)
     width = max(1, (int(at.max()).bit_length() + 6) // 7)
-    shifted = at[:, None].astype(np.int64) >> (7 * np.arange(width))
-    keep = shifted > 0
-    keep[:, 0] = True
-    bits = (shifted & 127).astype(np.uint8)
-    bits[:, :-1] |= (keep[:, 1:] * 128).astype(np.uint8)
-    return z.compress(bits[keep].tobytes())
-
-
-def _unpacked(blob: bytes, d: zstandard.ZstdDecompressor) -> np.ndarray:
-    if not blob:
-        return np.zeros(0, np.int64)
-    bits = np.frombuffer(d.decompress(blob), np.uint8)
+    bits, keep = np.empty((len(at), width), np.uint8), np.ones((len(at), width), bool)
+    for k in range(width):
+        bits[:, k] = (at >> (7 * k)) & 127
+        if k:
+            keep[:, k] = at >> (7 * k) > 0
+            bits[:, k - 1] |= keep[:, k].astype(np.uint8) << 7
+    to = np.concatenate([[0], np.cumsum(keep.sum(axis=1))])[ends]
+    flat = memoryview(bits[keep])
+    return [z.compress(flat[i:j]) if j > i else b"" for i, j in zip(to[:-1], to[1:])]
+
+
+def _unpacked(blobs: list[bytes], d: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts in a row, and how many each has."""
+    parts = [d.decompress(x) if x else b"" for x in blobs]
+    bits = np.frombuffer(b"".join(parts), np.uint8)
     last = np.flatnonzero(bits < 128)
-    first = np.concatenate([[0], last[:-1] + 1])
-    place = np.arange(len(bits)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((bits & 127).astype(np.int64) << (7 * place), first)
+    first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
+    out, size = np.zeros(len(last), np.int64), last - first + 1
+    for k in range(int(size.max()) if len(size) else 0):
+        more = np.flatnonzero(size > k)
+        out[more] |= (bits[first[more] + k].astype(np.int64) & 127) << (7 * k)
+    ends = np.searchsorted(last, np.cumsum([len(x) for x in parts]))
+    return out, np.diff(ends, prepend=0)
+
+
+class _Speller:
+    """The texts of lists of ids."""
+
+    def __init__(self, model: Model) -> None:
+        self.spelt, self.prefix = [*model.spelt, b""], model.prefix
+
+    def __call__(self, lists: pa.Array) -> pa.Array:
+        spelt, out = pa.array(self.spelt, pa.binary()), [pa.array([], pa.string())]
+        ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        out += [self._joined(x, spelt) for x in _slices(lists, ends, SLICE // 8)]
+        return pc.if_else(lists.is_valid(), pa.concat_arrays(out), None)
+
+    def _joined(self, lists: pa.Array, spelt: pa.Array) -> pa.Array:
+        flat = lists.flatten().fill_null(-1)
+        place = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(spelt))), flat, len(spelt) - 1)
+        n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), spelt.take(place)), b"")
+        try:
+            out = out.cast(pa.string())
+        except pa.ArrowInvalid:
+            out = pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
+        return pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out) if self.prefix else out
 
 
-def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "text", key: str = "_ids") -> DataFrame:
+def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "text", key: str = "_ids", back: str | None = None) -> DataFrame:
     """``docs``, all its columns, with ``key``: array<int>, the pieces of each whole text. Null and empty texts have none.
 
+    ``back``: a column for the text decoded again from the pieces, in the same pass (of null texts null).
+
     Workers look frequent units up in a table of bounded size; the others of a text are joined on
     the unit and gathered by text. Rows with equal id and text share their lookup; null ids and
-    texts are values like any other. No row is lost. A column of the name ``key`` is replaced. The
+    texts are values like any other. No row is lost. Columns of the names ``key`` and ``back`` are replaced. The
     decoded text differs from the text only if it holds U+2581.
     """
     spark = docs.sparkSession
@@ -439,34 +472,44 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
     def skeleton(b: pa.Array) -> pa.Array:
         k, z, out = _Known(known.value), zstandard.ZstdCompressor(level=3), []
         for at, ends, *_ in k.looked_up(b, prefix):
-            out += [_packed(at[i:j], z) for i, j in zip(ends[:-1], ends[1:])]
+            out += _packed(at, ends, z)
         pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
         return pa.array(out, pa.binary())
 
-    @F.arrow_udf("array<int>")
+    spell = _Speller(model) if back else None
+
     def filled(packed: pa.Array, colds: pa.Array) -> pa.Array:
         k, d, out = _Known(known.value), zstandard.ZstdDecompressor(), []
         n = len(k.unit)
-        first, last = colds.offsets.to_numpy()[:-1], colds.offsets.to_numpy()[1:]
-        lists = colds.values
-        begin, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+        first, last = (colds.offsets.to_numpy()[x].astype(np.int64) for x in (slice(None, -1), slice(1, None)))
+        begin, ids = colds.values.offsets.to_numpy().astype(np.int64), colds.values.values.to_numpy(zero_copy_only=False)
         start = np.concatenate([k.offset[:-1], len(k.ids) + begin[:-1]])
         size = np.concatenate([np.diff(k.offset), np.diff(begin)])
         ids = np.concatenate([k.ids, ids.astype(np.int32)])
-        for r, blob in enumerate(packed):
-            at = _unpacked(blob.as_py(), d)
-            at = np.where(at < n, at, at + first[r])
-            if len(at) and at.max() >= n + last[r]:
+        ends = np.cumsum(pc.binary_length(packed).fill_null(0).to_numpy(zero_copy_only=False))
+        done = 0
+        for blobs in _slices(packed, ends, SLICE // 4):
+            at, count = _unpacked(blobs.to_pylist(), d)
+            doc = np.repeat(np.arange(len(blobs)) + done, count)
+            at = np.where(at < n, at, at + first[doc])
+            if (at >= n + last[doc]).any():
                 raise ValueError("a unit's pieces are missing")
-            out.append(ids[_ranges(start[at], size[at])])
-        ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-        out = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+            long = size[at]
+            to = np.concatenate([[0], np.cumsum(long)])[np.concatenate([[0], np.cumsum(count)])]
+            out.append(pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(ids[_ranges(start[at], long)])))
+            done += len(blobs)
+        out = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        if spell:
+            out = pa.StructArray.from_arrays([out, spell(out)], ["ids", "text"])
         pa.default_memory_pool().release_unused()
         return out
 
-    rows = docs.withColumns({own("k1"): row[0], own("c1"): row[1], own("packed"): skeleton(F.col(text))})
+    fill = F.arrow_udf(filled, "struct<ids: array<int>, text: string>" if back else "array<int>")
+    rows = docs.withColumns({own("k1"): row[0], own("c1"): row[1], own("there"): F.col(text).isNotNull(), own("packed"): skeleton(F.col(text))})
     out = rows.join(missing, (F.col(own("k1")) == F.col(own("k2"))) & (F.col(own("c1")) == F.col(own("c2"))), "left")
-    return out.withColumn(key, filled(own("packed"), own("cold"))).drop(*map(own, ("k1", "c1", "k2", "c2", "packed", "cold")))
+    out = out.withColumn(own("ids"), fill(own("packed"), own("cold")))
+    found = {key: F.col(own("ids"))["ids"], back: F.when(F.col(own("there")), F.col(own("ids"))["text"])} if back else {key: F.col(own("ids"))}
+    return out.withColumns(found).drop(*map(own, ("k1", "c1", "k2", "c2", "there", "packed", "cold", "ids")))
 
 
 def decoded(rows: DataFrame, model_file: str, ids: str = "_ids", key: str = "_decoded") -> DataFrame:
@@ -476,31 +519,11 @@ def decoded(rows: DataFrame, model_file: str, ids: str = "_ids", key: str = "_de
     byte pieces join to UTF-8 (what is not UTF-8 becomes U+FFFD), and the first space goes where
     the model puts one. An id that is null or no number of the model's counts for nothing.
     """
-    model = Model(model_file)
-    table, prefix = [*model.spelt, b""], model.prefix
-
-    def joined(b: pa.Array, spelt: pa.Array) -> pa.Array:
-        flat = b.flatten().fill_null(-1)
-        place = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, len(table) - 1)
-        n = pc.list_value_length(b).fill_null(0).to_numpy(zero_copy_only=False)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), spelt.take(place))
-        out = pc.binary_join(lists, b"")
-        try:
-            out = out.cast(pa.string())
-        except pa.ArrowInvalid:
-            out = pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
-        return pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out) if prefix else out
+    spell = _Speller(Model(model_file))
 
     @F.arrow_udf("string")
-    def text(b: pa.Array) -> pa.Array:
-        spelt, out = pa.array(table, pa.binary()), []
-        ends = np.cumsum(pc.list_value_length(b).fill_null(0).to_numpy(zero_copy_only=False))
-        for x in _slices(b, ends, SLICE // 8):
-            out.append(joined(x, spelt))
-            del x
-        out = pc.if_else(b.is_valid(), pa.concat_arrays(out) if out else pa.array([], pa.string()), None)
-        pa.default_memory_pool().release_unused()
-        return out
+    def text(lists: pa.Array) -> pa.Array:
+        return spell(lists)
 
     return rows.withColumn(key, text(F.col(ids)))
 
@@ -514,6 +537,7 @@ def default_model() -> str:
 def op3_pieces(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
     """Per document: doc_id, n_pieces, ids_hash (of the piece ids in order), round_trip (the decoded text is the text)."""
     model_file = model_file or default_model()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_was"))
-    out = decoded(encoded(docs, model_file), model_file)
-    return out.select("doc_id", F.size("_ids").cast("long").alias("n_pieces"), F.xxhash64("_ids").alias("ids_hash"), (F.xxhash64("_decoded") == F.col("_was")).alias("round_trip"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("_was"), F.col("text").isNotNull().alias("_there"))
+    out = encoded(docs, model_file, back="_decoded")
+    same = F.col("_there") == F.col("_decoded").isNotNull()
+    return out.select("doc_id", F.size("_ids").cast("long").alias("n_pieces"), F.xxhash64("_ids").alias("ids_hash"), (same & (F.xxhash64("_decoded") == F.col("_was"))).alias("round_trip"))
