@@ -86,10 +86,18 @@ class Model:
 
 
 def split(texts: pa.Array, prefix: str = SPACE) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The distinct units of texts, the units' numbers of all texts in a row, and where each text's end (from 0).
+    """The distinct units of texts, the units' numbers of all texts in a row, and where each text's end (from 0)."""
+    units, codes, start, sizes, at, n = split_words(texts, prefix)
+    size = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+    return units, codes[_ranges(start[at], size)], ends
+
+
+def split_words(texts: pa.Array, prefix: str = SPACE) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct units; units' numbers of distinct words in a row, each word's start and size; words' numbers of all texts in a row, words a text.
 
     Words between spaces are taken once; texts with several spaces in a row, one at an end or
-    U+2581 before a space are split as a whole. Null and empty texts have no unit.
+    U+2581 before a space are split as a whole, as one word. Null and empty texts have no unit.
     """
     cut = regex.compile(UNIT)
     lists = pc.split_pattern(texts.fill_null(""), " ")
@@ -128,10 +136,7 @@ def split(texts: pa.Array, prefix: str = SPACE) -> tuple[pa.Array, np.ndarray, n
     keep = np.repeat(~whole, n)
     keep[first[where]] = True
     at[first[where]] = len(words) + np.arange(len(where))
-    at, n = at[keep], np.where(whole, 1, n)
-    size = sizes[at]
-    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
-    return every.dictionary, codes[_ranges(start[at], size)], ends
+    return every.dictionary, codes, start, sizes, at[keep], np.where(whole, 1, n)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -301,8 +306,10 @@ def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in _slices(b.column(0), _lengths(b.column(0)), SLICE):
-                units, codes, _ = split(t, model.prefix)
-                yield pa.RecordBatch.from_arrays([units, pa.array(np.bincount(codes, minlength=len(units)).astype(np.int64))], ["unit", "n"])
+                units, codes, _, sizes, at, _ = split_words(t, model.prefix)
+                times = np.repeat(np.bincount(at, minlength=len(sizes)), sizes)
+                n = np.bincount(codes, weights=times, minlength=len(units)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([units, pa.array(n)], ["unit", "n"]).filter(pa.array(n > 0))
             pa.default_memory_pool().release_unused()
 
     counts = docs.select(text).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -346,31 +353,41 @@ class _Known:
         self.offset = ids.offsets.to_numpy().astype(np.int64)
         self.ids = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
 
-    def looked_up(self, texts: pa.Array, prefix: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
-        """For slices of the texts: units' numbers in a row, where each text's end, and the other units: text, number in it, unit.
+    def looked_up(self, texts: pa.Array, prefix: str, full: bool = True) -> Iterator[tuple]:
+        """For slices of the texts: how many texts; of other units text, number in it, unit; if ``full`` all numbers in a row, and where each text's end.
 
         A number under the table's size is a place in it; from there on the text's other units are
         numbered by their first place in it. Looking up makes a table of all hot units, so the
         units of several slices are looked up at once.
         """
         for some in _slices(texts, _lengths(texts), 4 * SLICE):
-            yield from self._looked_up([split(t, prefix) for t in _slices(some, _lengths(some), SLICE)])
-
-    def _looked_up(self, parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
-        places = pc.index_in(pa.concat_arrays([u for u, *_ in parts]), value_set=self.unit).fill_null(-1).to_numpy(zero_copy_only=False)
-        for units, codes, ends in parts:
-            at, places = places[: len(units)], places[len(units) :]
-            out = at[codes]
-            miss = np.flatnonzero(out < 0)
-            doc = np.searchsorted(ends, miss, "right") - 1
-            _, first, which = np.unique(doc * len(units) + codes[miss], return_index=True, return_inverse=True)
-            order = np.argsort(first)  # by text, then first place
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            doc = doc[first[order]]
-            j = np.arange(len(order)) - np.searchsorted(doc, doc)
-            out[miss] = len(self.unit) + j[rank[which]]
-            yield out, ends, doc, j, units.take(pa.array(codes[miss[first[order]]]))
+            parts = [split_words(t, prefix) for t in _slices(some, _lengths(some), SLICE)]
+            places = pc.index_in(pa.concat_arrays([p[0] for p in parts]), value_set=self.unit).fill_null(-1).to_numpy(zero_copy_only=False)
+            for part in parts:
+                mine, places = places[: len(part[0])], places[len(part[0]) :]
+                yield self._numbered(*part, mine, full)
+
+    def _numbered(self, units: pa.Array, codes: np.ndarray, start: np.ndarray, sizes: np.ndarray, at: np.ndarray, n: np.ndarray, places: np.ndarray, full: bool) -> tuple:
+        words = np.cumsum(n)
+        # Only words with a unit that is not hot are looked into for those.
+        rare = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=places[codes] < 0, minlength=len(sizes)) > 0
+        seen = np.flatnonzero(rare[at])
+        mine = codes[_ranges(start[at[seen]], sizes[at[seen]])]
+        doc = np.repeat(np.searchsorted(words, seen, "right"), sizes[at[seen]])
+        miss = places[mine] < 0
+        mine, doc = mine[miss], doc[miss]
+        _, first, which = np.unique(doc * len(units) + mine, return_index=True, return_inverse=True)
+        order = np.argsort(first)  # by text, then first place
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        doc, names = doc[first[order]], units.take(pa.array(mine[first[order]]))
+        j = np.arange(len(order)) - np.searchsorted(doc, doc)
+        if not full:
+            return len(n), doc, j, names
+        size = sizes[at]
+        out = places[codes[_ranges(start[at], size)]]
+        out[out < 0] = len(self.unit) + j[rank[which]]
+        return len(n), doc, j, names, out, np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], words])]
 
 
 def _packed(at: np.ndarray, ends: np.ndarray, z: zstandard.ZstdCompressor) -> list[bytes]:
@@ -454,10 +471,10 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
         for b in batches:
             _, once = np.unique(np.stack([b.column(x).to_numpy() for x in ("k", "c")]), axis=1, return_index=True)
             b, done = b if len(once) == b.num_rows else b.take(pa.array(np.sort(once))), 0  # of repeated rows one
-            for _, ends, doc, j, names in k.looked_up(b.column("t"), prefix):
+            for n, doc, j, names in k.looked_up(b.column("t"), prefix, full=False):
                 doc = pa.array(doc + done)
                 yield pa.RecordBatch.from_arrays([b.column("k").take(doc), b.column("c").take(doc), pa.array(j.astype(np.int32)), names], ["k", "c", "j", "unit"])
-                done += len(ends) - 1
+                done += n
             pa.default_memory_pool().release_unused()
 
     cells = docs.select(row[0].alias("k"), row[1].alias("c"), F.col(text).alias("t"))
@@ -471,7 +488,7 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
     @F.arrow_udf("binary")
     def skeleton(b: pa.Array) -> pa.Array:
         k, z, out = _Known(known.value), zstandard.ZstdCompressor(level=3), []
-        for at, ends, *_ in k.looked_up(b, prefix):
+        for *_, at, ends in k.looked_up(b, prefix):
             out += _packed(at, ends, z)
         pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
         return pa.array(out, pa.binary())
