@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,34 +89,95 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(text, F.length(text))
 
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of distinct rows (h, r, t) in order, those whose neighbour has the same h; ``later``: an earlier one has it.
+
+    The first h of a partition may go on from the one before, the last in the one after: rows that
+    this bears on come with a null ``later``, and a row without t tells the h, least r and number.
+    """
+
+    def out(h, r, t, later, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(r, pa.int64()), pa.array(t, pa.int64()), pa.array(later, pa.bool_()), pa.array(n, pa.int64())], ["h", "r", "t", "later", "n"])
+
+    held, head, tail = None, None, None  # the last row; the first run and the last: h, least r, rows
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, r, t = (b.column(x).to_numpy() for x in ("h", "r", "t"))
+        if held is not None:
+            h, r, t = (np.concatenate([[x], y]) for x, y in zip(held[:3], (h, r, t)))
+        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]) | (t[1:] != t[:-1])])  # equal rows are one
+        h, r, t = h[fresh], r[fresh], t[fresh]
+        same = h[1:] == h[:-1]
+        before = np.concatenate([[held is not None and held[3]], same])  # the row before has the same h
+        starts = np.flatnonzero(~before)
+        if head is None:
+            head = [h[0], r[0], 0]
+        fresh = np.arange(len(h)) >= (0 if held is None else 1)
+        head[2] += int(((h == head[0]) & fresh).sum())
+        last = int((h[-1] == h).sum()) - (0 if held is None or held[0] != h[-1] else 1)
+        tail = [h[-1], r[starts[-1]], last] if len(starts) and (tail is None or h[-1] != tail[0]) else [tail[0], tail[1], tail[2] + last]
+        first = h[:-1] == head[0]
+        keep = first | before[:-1] | same
+        yield out(h[:-1][keep], r[:-1][keep], t[:-1][keep], pa.array(before[:-1][keep], mask=first[keep]), np.zeros(int(keep.sum()), np.int64))
+        held = (h[-1], r[-1], t[-1], bool(before[-1]))
+    if held is not None:
+        alone = held[0] == head[0] or tail[2] == 1
+        yield out([held[0]], [held[1]], [held[2]], [None if alone else held[3]], [0])
+        ends = [head] if head[0] == tail[0] else [head, tail]
+        yield out([e[0] for e in ends], [e[1] for e in ends], [None] * len(ends), [None] * len(ends), [e[2] for e in ends])
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """The distinct ``rows`` (h, r, t long) whose h comes in several, with ``later``: r is not the least of its h.
+
+    Rows are dealt by ranges of (h, r), sorted and compared with their neighbours, so that a very
+    common h is spread over tasks. What happens at the edges of partitions is told by two rows a
+    partition, which are broadcast.
+    """
+    rows = common.written(rows, "sorted")
+    found = rows.repartitionByRange("h", "r", "t").sortWithinPartitions("h", "r", "t")
+    found = common.cut(found.mapInArrow(_compared, "h long, r long, t long, later boolean, n long"))
+    common.removed(rows)
+    ends = found.filter("t is null").groupBy(F.col("h").alias("h2")).agg(F.min("r").alias("lo"), F.sum("n").alias("n2"))
+    open_ = found.filter("t is not null and later is null").join(F.broadcast(ends), F.col("h") == F.col("h2")).filter("n2 > 1")
+    return found.filter("later is not null").select("h", "r", "t", "later").unionAll(open_.select("h", "r", "t", (F.col("r") != F.col("lo")).alias("later")))
+
+
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per distinct text with a repeat: ``t`` (its key), ``first``, ``copies``, ``n_words``, ``again``, ``later``.
 
     ``again``: the word ranges that occur elsewhere, in this or another text, as part of a run of
     at least ``length`` equal words. ``later``: those of them that occur at an earlier place, by
-    id, then position. A text held by several documents counts once, under its smallest id.
-
-    1. Suffixes at minimiser positions are dealt by a hash of their first ``length // 2 + 1``
-       words, where equal starts are neighbours; starts found at one place only are dropped.
-    2. Around each that is left, every run of ``length`` words whose least suffix it is is hashed (the
-       match extended left and right as far as it must reach), and runs found at one place are dropped.
-    Both steps are pre-aggregated counts joined back on the hash: a passage that a third of all
-    documents share is spread over tasks. Null and short texts have no repeat.
+    id, then position (where ids are negative, null or very large, by a hash of id and text). A
+    text held by several documents counts once, under its smallest id.
+
+    1. Suffixes at minimiser positions are sorted by a hash of their first ``length // 2 + 1``
+       words and compared with their neighbours; starts found at one place only are dropped.
+    2. Matches of those left are extended left and right: every run of ``length`` words around a
+       suffix, and of which it is the least one, is hashed, and the runs are sorted and compared with
+       their neighbours in turn.
+    Null and short texts have no repeat.
     """
     k, w = _starts(length)
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.length("text") >= 2 * length - 1).withColumn("t", _text_key(F.col("text")))
     heads = base.select("id", "t", F.size(common.words(F.col("text"))).alias("n_words")).groupBy("t").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("n_words").alias("n_words"))
     heads = common.written(heads.filter(F.col("n_words") >= length), "texts")
-    ends = heads.agg(F.min("first"), F.max("first"), F.max("n_words")).first()
+    ends = heads.agg(F.min("first"), F.max("first"), F.max("n_words"), F.count(F.when(F.col("first").isNull(), 1))).first()
     bits = max(1, int(ends[2] or 1).bit_length())
-    plain = ends[0] is not None and ends[0] >= 0 and int(ends[1]).bit_length() + bits <= 62
+    plain = ends[0] is not None and not ends[3] and ends[0] >= 0 and int(ends[1]).bit_length() + bits <= 62
     order = F.col("first") if plain else F.xxhash64("first", "t").bitwiseAND((1 << (62 - bits)) - 1)
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+        hasher, seen = Hasher(), set()
         for pdf in batches:
             ks, ts = [], []
+            if len(seen) > 1 << 20:
+                seen.clear()
             for t, x in zip(pdf["t"], pdf["text"]):
+                if t in seen:  # a copy adds nothing; those of other tasks are dropped when sorted
+                    continue
+                seen.add(t)
                 h = hasher.words(x)
                 if len(h) < length:
                     continue
@@ -126,11 +188,11 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
                 ks += [u, u[n > 1]]
                 ts += [np.full(len(u), t, np.int64), np.full(int((n > 1).sum()), ~t, np.int64)]
             if ks:
-                yield pd.DataFrame({"k": np.concatenate(ks).view(np.int64), "t": np.concatenate(ts)})
+                yield pd.DataFrame({"h": np.concatenate(ks).view(np.int64), "t": np.concatenate(ts)})
 
-    found = base.select("t", "text").mapInPandas(entries, "k long, t long")
-    twice = found.groupBy("k").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("k")
-    near = found.join(twice, "k").groupBy("t").agg(F.collect_set("k").alias("ks"))
+    found = repeated(base.select("t", "text").mapInPandas(entries, "h long, t long").select("h", F.col("t").alias("r"), "t"))
+    # The second of two places in one text only tells that there are two.
+    near = found.groupBy("t").agg(F.collect_set("h").alias("ks"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = zstandard.ZstdCompressor(level=3)
@@ -156,10 +218,9 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
                     runs = hasher.runs(h, length)[s]
                     yield pd.DataFrame({"h": runs.view(np.int64), "r": (int(o) << bits) | s, "t": np.full(len(s), t, np.int64)})
 
-    runs = mine.mapInPandas(windows, "h long, r long, t long")
-    again = runs.groupBy("h").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo <> hi").select("h", "lo")
+    runs = repeated(mine.mapInPandas(windows, "h long, r long, t long"))
     pos = F.col("r").bitwiseAND((1 << bits) - 1).cast("int")
-    marked = runs.join(again, "h").select("t", pos.alias("p"), (F.col("r") != F.col("lo")).alias("later"))
+    marked = runs.select("t", pos.alias("p"), "later")
     marked = marked.groupBy("t").agg(F.collect_list("p").alias("p"), F.collect_list(F.when(F.col("later"), F.col("p"))).alias("q"))
 
     def covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,16 +233,6 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     return out.select("t", "first", "copies", "n_words", F.when(F.col("copies") > 1, whole).otherwise(F.col("again")).alias("again"), F.coalesce("later", F.array().cast("array<array<int>>")).alias("later"))
 
 
-def _own(docs: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
-    """Joins ``repeats`` to documents; of a text's documents all but the first are repeats throughout."""
-    keyed = docs.withColumn("_t", F.coalesce(_text_key(F.col(text)), F.lit(0)))
-    found = found.select(*[F.col(c).alias(f"_own_{c}") for c in found.columns])  # the documents may have columns of these names
-    out = keyed.join(found, F.col("_t") == F.col("_own_t"), "left")
-    whole = F.array(F.array(F.lit(0), F.col("_own_n_words")))
-    later = (F.col("_own_copies") > 1) & ~F.col(id).cast("long").eqNullSafe(F.col("_own_first"))
-    return out.withColumn("_later", F.when(later, whole).otherwise(F.col("_own_later")))
-
-
 def measured(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: id, n_words, dup_words, removed_words (words within ``again`` and ``later``).
 
@@ -211,18 +262,23 @@ def without(text: str, ranges: list[list[int]]) -> str:
 def trimmed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` (its columns) with every repeated passage left at its first place only.
 
-    A document none of whose words is left goes; texts without a repeat stay as they are.
+    A document none of whose words is left goes; texts without a repeat stay as they are. Other
+    columns are kept as they are, whatever their names, but for ``n_chars``, which follows the text.
     """
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         return pd.Series([without(t, r) for t, r in zip(texts, ranges)], index=texts.index, dtype=object)
 
-    own = _own(docs, repeats(docs, id, text, length), id, text)
-    touched = own.filter(F.size("_later") > 0)
-    cols = [F.col("_new").alias(c) if c == text else F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    changed = touched.withColumn("_new", cut(F.col(text), F.col("_later"))).filter(F.size(common.words(F.col("_new"))) > 0).select(*cols)
-    return own.filter(F.coalesce(F.size("_later"), F.lit(0)) <= 0).select(*docs.columns).unionByName(changed)
+    own = common.own_names(docs)
+    found = repeats(docs, id, text, length).select(*[F.col(c).alias(own(c)) for c in ("t", "first", "copies", "n_words", "later")])
+    keyed = docs.withColumn(own("key"), F.coalesce(_text_key(F.col(text)), F.lit(0))).join(found, F.col(own("key")) == F.col(own("t")), "left")
+    copy = (F.col(own("copies")) > 1) & ~F.col(id).cast("long").eqNullSafe(F.col(own("first")))
+    keyed = keyed.withColumn(own("later"), F.when(copy, F.array(F.array(F.lit(0), F.col(own("n_words"))))).otherwise(F.col(own("later"))))
+    new = F.col(own("new"))
+    touched = keyed.filter(F.size(own("later")) > 0).withColumn(own("new"), cut(F.col(text), F.col(own("later")))).filter(F.size(common.words(new)) > 0)
+    cols = [new.alias(c) if c == text else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return keyed.filter(F.coalesce(F.size(own("later")), F.lit(0)) <= 0).select(*docs.columns).unionByName(touched.select(*cols))
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
