@@ -16,6 +16,8 @@ SLOPES = (-0.5, 0.5, 0.0)
 BUDGET, MOST = 1.5, 2
 #: Documents of a source that one window frame holds, about.
 BUCKET = 512
+#: Rows of offsets and of targets (under 100 bytes each, but for a source's name) that are broadcast at most.
+FEW = 200_000
 
 
 def size_of(text: Column) -> Column:
@@ -63,13 +65,13 @@ def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     """One row per document: id, ``_key``, ``_row``, ``size``, ``source``, ``source_size``, ``target``, ``slope``, ``total``, ``start``.
 
     ``start`` is the number of words of the source's documents before this one in the order of
-    md5(id), id, size and md5(text). It comes from sums over prefixes of the digest and a window
+    md5(id) (of null ids md5(text)), id, size and md5(text). It comes from sums over prefixes of the digest and a window
     within one prefix of one source, so no task orders a whole source. Null texts and texts
-    without a word have size 0; null ids come first; the null source is a source.
+    without a word have size 0; the null source is a source.
     """
     slim = docs.select(
         F.col(id).alias("_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"),
-        F.coalesce(F.md5(F.col(id).cast("string").cast("binary")), F.lit("")).alias("h"), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")).alias("k"),
+        F.coalesce(F.md5(F.col(id).cast("string").cast("binary")), F.md5(F.col(text).cast("binary")), F.lit("")).alias("h"), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")).alias("k"),
         _key(F.col(id), F.col(text), F.col(source)).alias("_key"),
     )
     slim = common.written(slim, "mixing")
@@ -83,9 +85,9 @@ def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     out = slim.withColumn("_row", F.row_number().over(inside.orderBy("h", F.col("_id").asc_nulls_first(), "size", "k").rowsBetween(Window.unboundedPreceding, 0)))
     out = out.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     at = offsets.withColumnRenamed("source", "s1").withColumnRenamed("b", "b1")
-    out = out.join(F.broadcast(at) if sums.count() <= 200_000 else at, F.col("source").eqNullSafe(F.col("s1")) & (F.col("b") == F.col("b1")))
+    out = out.join(F.broadcast(at) if sums.count() <= FEW else at, F.col("source").eqNullSafe(F.col("s1")) & (F.col("b") == F.col("b1")))
     aims = aims.withColumnRenamed("source", "s2")
-    out = out.join(F.broadcast(aims) if sums.select("source").distinct().count() <= 200_000 else aims, F.col("source").eqNullSafe(F.col("s2")))
+    out = out.join(F.broadcast(aims) if sums.select("source").distinct().count() <= FEW else aims, F.col("source").eqNullSafe(F.col("s2")))
     return out.select(F.col("_id").alias(id), "_key", "_row", "size", "source", "source_size", "target", "slope", "total", (F.col("b_start") + F.col("inside")).alias("start"))
 
 
@@ -101,23 +103,24 @@ def position(copy: Column) -> Column:
     return time_of(share, F.col("slope")) * F.col("total")
 
 
-def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", most: int = MOST, **how) -> DataFrame:
-    """The mix itself: documents of ``docs``, all their columns, each as often as it is taken, in training order.
+def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST, **how) -> DataFrame:
+    """The mix itself: documents of ``docs``, their columns and no other, each as often as it is taken, in training order.
 
     A source's last copy is kept whole if at least half its words are taken, else left out. Rows
     of size 0 stay once where their place is before the target (always, if the target is 0).
     """
-    rows = plan(docs, id, text, most=most, **how)
+    rows = plan(docs, id, text, source, most=most, **how)
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("taken", words_taken(F.col("copy")))
     empty = (F.col("size") == 0) & (F.col("copy") == 0) & ((F.col("start") < F.col("target")) | (F.col("target") == 0))
     copies = copies.filter(((F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size"))) | empty)
     # One list of positions for each row with any copy; rows with one key (repeated rows) take a list each.
+    own = common.own_names(docs)
     lists = copies.groupBy("_key", "start", "_row").agg(F.collect_list(position(F.col("copy"))).alias("p"))
-    lists = lists.groupBy("_key").agg(F.collect_list("p").alias("_p"))
-    own = docs.withColumn("_key", _key(F.col(id), F.col(text), F.col("source"))).join(lists, "_key")
-    own = own.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    own = own.withColumn("_at", F.explode(F.get("_p", F.col("_n") - 1)))
-    return own.orderBy("_at", "_key").select(*docs.columns)
+    lists = lists.groupBy(F.col("_key").alias(own("key"))).agg(F.collect_list("p").alias(own("p")))
+    mine = docs.withColumn(own("key"), _key(F.col(id), F.col(text), F.col(source))).join(lists, own("key"))
+    mine = mine.withColumn(own("n"), F.row_number().over(Window.partitionBy(own("key")).orderBy(own("key"))))
+    mine = mine.withColumn(own("at"), F.explode(F.get(own("p"), F.col(own("n")) - 1)))
+    return mine.orderBy(own("at"), own("key")).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +132,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce(md5(doc_id::VARCHAR), '') AS h, coalesce(md5(text), '') AS k FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce(md5(doc_id::VARCHAR), md5(text), '') AS h, coalesce(md5(text), '') AS k FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS r FROM d GROUP BY source
 ), w AS (

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule): a rule is a host, then the start of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
+#: Public suffixes of two labels (fixed values, the commonest; a parameter); any other suffix is the last label.
+SUFFIXES = ("ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "edu.au", "edu.cn", "gov.au", "gov.br", "gov.uk", "gov.in", "ne.jp", "net.au", "net.br", "net.cn", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.uk")
+#: Bytes of hosts and bounds that are broadcast at most; parts that a host's pages are dealt into beyond.
+FEW_BYTES, SALT = 16 << 20, 32
+
 
 def host_of(url: Column) -> Column:
     rest = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
@@ -30,48 +37,52 @@ def first_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix_of(host: Column, known: tuple[str, ...] = SUFFIXES) -> Column:
+    """The public suffix: the last two labels if they are in ``known``, else the last one."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*known), two).otherwise(F.substring_index(host, ".", -1)) if known else F.substring_index(host, ".", -1)
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the suffix and the label before it."""
-    return F.substring_index(host, ".", -2)
+def domain_of(host: Column, known: tuple[str, ...] = SUFFIXES) -> Column:
+    """The registered domain: the suffix and the label before it; a host that is a suffix is its own."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*known), F.substring_index(host, ".", -3)).otherwise(two) if known else two
 
 
-def _shrunk(counts: DataFrame, key: str, parent_mean: str) -> DataFrame:
+def _shrunk(counts: DataFrame, parent_mean: str) -> DataFrame:
     """Posterior ``mean`` and ``strength`` of each group under a beta prior at its parent's mean.
 
     The prior's strength is one number a level: the beta-binomial overdispersion of all its
-    groups around their parents' means, by moments, held within [1, 1000].
+    groups around their parents' means, by moments, held within [1, 1000]; 1 where no group has
+    two pages, as then nothing tells it.
     """
     m = F.col(parent_mean)
     v = F.col("n") * m * (1 - m)
     spread = F.pow(F.col("bad") - F.col("n") * m, F.lit(2)) - v
-    rho = F.sum(spread) / F.sum((F.col("n") - 1) * v)
+    rho = F.try_divide(F.sum(spread), F.sum((F.col("n") - 1) * v))
     level = counts.agg(F.greatest(F.lit(1.0), F.least(F.lit(1000.0), 1 / F.greatest(F.coalesce(rho, F.lit(0.5)), F.lit(1e-6)) - 1)).alias("k"))
     return counts.crossJoin(F.broadcast(level)).withColumn("mean", (F.col("k") * m + F.col("bad")) / (F.col("k") + F.col("n"))).withColumn("strength", F.col("k") + F.col("n"))
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``outcomes``: host, bad (0/1), one row a labelled page. Returns host, mean, strength, bound.
 
-    Counts go from hosts to registered domains to suffixes; means come back down, each level
-    shrunk towards the one above. ``bound`` is the posterior mean less 1.645 standard deviations.
+    Counts go from hosts (cut once: a row a host) to registered domains to suffixes; means come
+    back down, each level shrunk towards the one above. ``bound`` is the posterior mean less 1.645 standard deviations.
     """
     hosts = outcomes.groupBy("host").agg(F.sum("bad").cast("double").alias("bad"), F.count("*").cast("double").alias("n"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    root = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("root"))
-    top = _shrunk(suffixes.crossJoin(F.broadcast(root)), "suffix", "root").select("suffix", F.col("mean").alias("suffix_mean"))
-    mid = _shrunk(domains.join(top, "suffix"), "domain", "suffix_mean").select("domain", F.col("mean").alias("domain_mean"))
-    low = _shrunk(hosts.join(mid, "domain"), "host", "domain_mean")
+    hosts = common.cut(hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)))
+    domains = common.cut(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
+    tops = common.cut(domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
+    root = tops.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("root"))
+    top = common.cut(_shrunk(tops.crossJoin(F.broadcast(root)), "root").select("suffix", F.col("mean").alias("suffix_mean")))
+    mid = common.cut(_shrunk(domains.join(top, "suffix"), "suffix_mean").select("domain", F.col("mean").alias("domain_mean")))
+    low = _shrunk(hosts.join(mid, "domain"), "domain_mean")
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
     return low.select("host", "mean", "strength", (F.col("mean") - 1.645 * sd).alias("bound"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, id: str = "page_id", url: str = "url", rules=RULES, limit: float = 0.25) -> DataFrame:
+def judged(pages: DataFrame, outcomes: DataFrame, id: str = "page_id", url: str = "url", rules=RULES, limit: float = 0.25, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """One row per page: ``id``, ``host``, ``path``, ``rule``, ``verdict``.
 
     The longest rule that fits decides. Without one, a page is blocked if its host's posterior
@@ -80,8 +91,13 @@ def judged(pages: DataFrame, outcomes: DataFrame, id: str = "page_id", url: str
     """
     here = pages.select(F.col(id).alias("_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     here = here.withColumn("_r", first_rule(F.col("host"), F.col("path"), rules))
-    known = reputations(outcomes.filter("host <> ''"))
-    out = here.join(known.select("host", "bound"), "host", "left")
+    known = common.cut(reputations(outcomes.filter("host <> ''"), suffixes).select("host", "bound"))
+    size = known.agg(F.sum(F.octet_length("host") + 16)).first()[0] or 0
+    if size <= FEW_BYTES:
+        out = here.join(F.broadcast(known), "host", "left")
+    else:  # a host may hold a third of all pages: each host's row meets ``SALT`` parts of its pages
+        known = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        out = here.withColumn("_s", F.pmod(F.xxhash64("_id", "path"), F.lit(SALT)).cast("int")).join(known, ["host", "_s"], "left")
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("bound") > limit, F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("_id").alias(id), "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"))
 
@@ -112,8 +128,9 @@ WITH p AS (
 ), lab AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
 ), hosts AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, sum(bad)::DOUBLE AS bad, count(*)::DOUBLE AS n
-  FROM shown JOIN lab USING (doc_id) GROUP BY host
+  SELECT host, array_to_string(list_slice(string_split(host, '.'), CASE WHEN two THEN -3 ELSE -2 END, -1), '.') AS domain,
+    array_to_string(list_slice(string_split(host, '.'), CASE WHEN two THEN -2 ELSE -1 END, -1), '.') AS suffix, bad, n
+  FROM (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN {SUFFIXES} AS two, sum(bad)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM shown JOIN lab USING (doc_id) GROUP BY host)
 ), domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY ALL),
 root AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m FROM suffixes),
