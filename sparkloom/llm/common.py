@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these (ASCII white space).
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch of whole texts at most.
+BATCH = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,14 @@ def removed(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """Bounds the session's Arrow batches by ``most`` bytes: the default counts rows, and texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    told = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not told or not 0 < int(told[1]) <= most:
+        spark.conf.set(key, str(most))
+
+
 def released(spark: SparkSession) -> None:
     """Has Spark remove the shuffle files of frames that are no longer referenced: its cleaner waits for a collection.
 

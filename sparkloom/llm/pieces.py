@@ -360,7 +360,7 @@ class _Known:
         numbered by their first place in it. Looking up makes a table of all hot units, so the
         units of several slices are looked up at once.
         """
-        for some in _slices(texts, _lengths(texts), 4 * SLICE):
+        for some in _slices(texts, _lengths(texts), 2 * common.BATCH):
             parts = [split_words(t, prefix) for t in _slices(some, _lengths(some), SLICE)]
             places = pc.index_in(pa.concat_arrays([p[0] for p in parts]), value_set=self.unit).fill_null(-1).to_numpy(zero_copy_only=False)
             for part in parts:
@@ -452,9 +452,11 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
     Workers look frequent units up in a table of bounded size; the others of a text are joined on
     the unit and gathered by text. Rows with equal id and text share their lookup; null ids and
     texts are values like any other. No row is lost. Columns of the names ``key`` and ``back`` are replaced. The
-    decoded text differs from the text only if it holds U+2581.
+    decoded text differs from the text only if it holds U+2581. The session's Arrow batches are bounded
+    by bytes from here on (``common.BATCH``).
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     model = Model(model_file)
     table = encoded_units(docs, model, text)
     hot, others = _hot(table)
