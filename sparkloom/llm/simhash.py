@@ -32,7 +32,11 @@ def hashed(text: str | None, size: int, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     """SimHash over word shingles, repeats included. Fewer words than ``size``: one shingle; none: 0."""
-    h = hashed(text, size, seed)
+    return majority(hashed(text, size, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; of none, 0."""
     if not len(h):
         return 0
     ones = np.zeros(64, dtype=np.int64)
@@ -169,12 +173,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     return fps.join(roots, "_fp", "left").select(F.col("_id").alias(id), "_fp", F.when(F.col("_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, id: str = "doc_id", **how) -> DataFrame:
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, budget: int = 2, least: float | None = None, seed: int = 42) -> DataFrame:
     """``docs`` without the rows that are not the first of their component; its columns are kept.
 
-    Of rows that share an id all stay or all go. Rows with a null id stay.
+    ``least``: fingerprints within the budget only propose; documents link if the Jaccard similarity of
+    their shingle sets is ``least`` or more, and pairs whose fingerprints differ by more bits are found
+    by the prefixes of their sets (``similar``). Of rows that share an id all stay or all go. Rows with a
+    null id stay.
     """
-    drop = near_duplicates(docs, id, **how).filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
+    if least is None:
+        groups = near_duplicates(docs, id, text, size, budget, seed)
+    else:
+        from . import similar
+
+        groups = similar.near_duplicates(docs, id, text, size, least, seed, budget)
+    drop = groups.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
     return docs.join(drop, docs[id].cast("long") == drop["_gone"], "left_anti")
 
 

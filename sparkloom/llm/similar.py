@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles: a set join on prefixes, every link confirmed."""
+"""Near copies by the exact Jaccard similarity of word shingles: near fingerprints first, then a set join on prefixes, every link confirmed."""
 
 from __future__ import annotations
 
@@ -58,15 +58,15 @@ def _last(docs: DataFrame, size: int, seed: int) -> np.ndarray:
 
 
 def _near(least: float):
-    """Pairs of neighbours under one shingle, from rows in order of shingle; longer lists give (shingle, null) too."""
+    """Pairs of neighbours of different components under one shingle, from rows in order of shingle; longer lists give (shingle, null) too."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None
         for pdf in batches:
-            new = [pdf[x].to_numpy(np.int64) for x in ("k", "n", "c", "p")]
+            new = [pdf[x].to_numpy(np.int64) for x in ("k", "n", "c", "p", "g")]
             old = 0 if tail is None else len(tail[0])
-            k, n, c, p = new if tail is None else [np.concatenate(x) for x in zip(tail, new)]
-            tail = [x[-NEAR:] for x in (k, n, c, p)]
+            k, n, c, p, g = new if tail is None else [np.concatenate(x) for x in zip(tail, new)]
+            tail = [x[-NEAR:] for x in (k, n, c, p, g)]
             for d in range(1, NEAR + 1):
                 j = np.arange(max(old, d), len(k))
                 j = j[k[j] == k[j - d]]
@@ -75,7 +75,7 @@ def _near(least: float):
                 if d == NEAR:
                     yield pd.DataFrame({"a": np.unique(k[j]), "b": pd.array([None] * len(np.unique(k[j])), dtype="Int64")})
                 i = j - d
-                ok = _possible(n[i], p[i], n[j], p[j], least)
+                ok = _possible(n[i], p[i], n[j], p[j], least) & (g[i] != g[j])
                 if ok.any():
                     u, v = c[i[ok]], c[j[ok]]
                     yield pd.DataFrame({"a": np.minimum(u, v), "b": pd.array(np.maximum(u, v), dtype="Int64")})
@@ -98,34 +98,37 @@ def _across(least: float):
     return pairs
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, seed: int = 42, budget: int = 2) -> DataFrame:
     """One row per document: ``id``, ``component_id`` long, the smallest id of its component.
 
     Two documents are linked if the Jaccard similarity of their sets of ``size``-word shingles is
     ``least`` or more; none is left out. In any one order of all shingles such sets share one of
     their first n - ceil(least * n) + 1, so documents meet under those; frequent shingles come
     last in the order, to keep lists short. Equal sets are one class. Pairs are confirmed from the
-    texts. Under a shingle that many classes have, neighbours are linked first, and then only
-    pairs of different components are compared. Rows with a null id get a null component.
+    texts. Classes whose SimHash fingerprints differ by at most ``budget`` bits (``simhash.links``)
+    are compared first; under each shingle, then, only classes that this has not joined. Under a
+    shingle that many classes have, neighbours are linked before pairs of different components. Rows with a null id get a null component.
     """
+    common.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
     last = _last(docs, size, seed)
 
-    @F.pandas_udf("c long, n int, ks array<long>, w binary")
+    @F.pandas_udf("c long, n int, ks array<long>, w binary, fp long")
     def prefixes(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, size, seed) for t in texts]
+        all_ = [simhash.hashed(t, size, seed) for t in texts]
+        marks = np.array([simhash.majority(h) for h in all_], np.uint64).view(np.int64)
+        sets = [np.unique(h).astype(np.uint64) for h in all_]
         firsts = []
         for s in sets:
             often = np.isin(s, last)
             ordered = np.concatenate([s[~often], s[often]])
             firsts.append(ordered[: len(s) - int(np.ceil(least * len(s) - 1e-6)) + 1].view(np.int64))
-        return pd.DataFrame({"c": [_class(s) for s in sets], "n": [len(s) for s in sets], "ks": firsts, "w": [sketch(s).tobytes() for s in sets]})
+        return pd.DataFrame({"c": [_class(s) for s in sets], "n": [len(s) for s in sets], "ks": firsts, "w": [sketch(s).tobytes() for s in sets], "fp": marks})
 
     found = common.written(docs.select("_id", prefixes("_text").alias("s")).select("_id", "s.*"), "shingles")
     named = found.filter("_id is not null")
-    classes = named.groupBy("c").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("ks").alias("ks"))
-    lists = classes.select("c", "n", F.posexplode("ks").alias("p", "k"))
-    close = common.cut(lists.repartition("k").sortWithinPartitions("k", "n", "c").mapInPandas(_near(least), PAIR).distinct())
+    # Equal sets may come with other repeats, and so with other fingerprints: the least serves.
+    classes = named.groupBy("c").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("ks").alias("ks"), F.min("fp").alias("fp"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,23 +157,25 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
         both = pairs.join(s.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
         return common.cut(both.select("a", "b", "x", "y").mapInPandas(similar, PAIR))
 
-    edges = confirmed(close.filter("b is not null"))
+    marked = classes.select("c", F.col("fp").alias("_fp"))
+    firsts = common.cut(marked.groupBy("_fp").agg(F.min("c").alias("id")))
+    alike = marked.join(firsts, "_fp").filter("c <> id").select(F.col("id").alias("a"), F.col("c").alias("b"))
+    edges = confirmed(simhash.links(firsts, budget).unionByName(alike).distinct())
+    groups = common.components(edges)
+    common.released(docs.sparkSession)
+    lists = classes.join(groups, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("component", "c").alias("g"), F.posexplode("ks").alias("p", "k"))
+    close = common.cut(lists.repartition("k").sortWithinPartitions("k", "n", "c").mapInPandas(_near(least), PAIR).distinct())
+    common.released(docs.sparkSession)
+    edges = edges.union(confirmed(close.filter("b is not null")))
+    common.released(docs.sparkSession)
     groups = common.components(edges)
     long = close.filter("b is null").select(F.col("a").alias("k"))
     if not long.isEmpty():
-        lists = lists.join(long, "k").join(groups, F.col("c") == F.col("node"), "left").select("k", "c", "n", "p", F.coalesce("component", "c").alias("g"))
+        lists = lists.drop("g").join(long, "k").join(groups, F.col("c") == F.col("node"), "left").select("k", "c", "n", "p", F.coalesce("component", "c").alias("g"))
         more = common.cut(lists.groupBy("k").applyInPandas(_across(least), PAIR).distinct())
         groups = common.components(edges.union(confirmed(more)))
+        common.released(docs.sparkSession)
     grouped = classes.select("c", "id").join(groups, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("component", "c").alias("g"))
     firsts = grouped.groupBy("g").agg(F.min("id").alias("component_id"))
     firsts = grouped.join(firsts, "g").select("c", "component_id")
     return found.join(firsts, "c", "left").select(F.col("_id").alias(id), F.when(F.col("_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def deduplicated(docs: DataFrame, id: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the rows that are not the first of their component; its columns are kept.
-
-    Of rows that share an id all stay or all go. Rows with a null id stay.
-    """
-    drop = near_duplicates(docs, id, **how).filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
-    return docs.join(drop, docs[id].cast("long") == drop["_gone"], "left_anti")

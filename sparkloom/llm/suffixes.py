@@ -159,6 +159,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
        their neighbours in turn.
     Null and short texts have no repeat.
     """
+    common.small_batches(docs.sparkSession)
     k, w = _starts(length)
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.length("text") >= 2 * length - 1).withColumn("t", _text_key(F.col("text")))
     heads = base.select("id", "t", F.size(common.words(F.col("text"))).alias("n_words")).groupBy("t").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("n_words").alias("n_words"))
