@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these (ASCII white space).
 SPACE = r"[\x20\x09-\x0D]+"
+#: Ids that are broadcast at most.
+FEW = 1_000_000
 #: Bytes of an Arrow batch of whole texts at most.
 BATCH = 16 << 20
 
@@ -90,6 +92,16 @@ def fold(id_: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def without(docs: DataFrame, id: str, gone: DataFrame) -> DataFrame:
+    """``docs``, its columns, without the rows whose id is among ``gone`` (one column of numbers); null ids stay.
+
+    Ids are broadcast only while there are ``FEW`` of them at most (16 bytes each); beyond, the join shuffles.
+    """
+    name = own_names(docs)("gone")
+    gone = cut(gone.select(F.col(gone.columns[0]).cast("long").alias(name)).filter(F.col(name).isNotNull()).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, F.col(id).cast("long") == F.col(name), "left_anti")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: ``(node, component)``, component = smallest node.
 

@@ -98,6 +98,8 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     the smoothed base rate. Repeated rows each return a row. One pass over the texts.
     """
 
+    common.small_batches(docs.sparkSession)
+
     @F.pandas_udf("array<double>")
     def measured(texts: pd.Series) -> pd.Series:
         return texts.map(statistics)
@@ -121,8 +123,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", cut: float
 
     The cut is at even odds, so that a clean document is dropped only when junk is likelier.
     """
-    drop = scored(docs, labels, id, **how).filter(F.col("score") < cut).select(F.col(id).alias("_gone")).distinct()
-    return docs.join(drop, docs[id] == drop["_gone"], "left_anti")
+    return common.without(docs, id, scored(docs, labels, id, **how).filter(F.col("score") < cut).select(id))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,8 +187,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
         from . import similar
 
         groups = similar.near_duplicates(docs, id, text, size, least, seed, budget)
-    drop = groups.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
-    return docs.join(drop, docs[id].cast("long") == drop["_gone"], "left_anti")
+    return common.without(docs, id, groups.filter(F.col(id) != F.col("component_id")).select(id))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

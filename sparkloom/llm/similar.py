@@ -35,9 +35,20 @@ def _class(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """How many of a set's members are in each of ``PARTS`` parts of all hashes; the lesser counts of two sets bound what they share."""
-    return np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.uint32)
+def sketch(s: np.ndarray) -> bytes:
+    """How many of a set's members are in each of ``PARTS`` parts of all hashes, in as few bits as hold the greatest; the lesser counts of two sets bound what they share."""
+    n = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+    if n.max() < 16:
+        return (n[::2] | n[1::2] << 4).astype(np.uint8).tobytes()
+    return n.astype(np.uint8 if n.max() < 1 << 8 else np.uint16 if n.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def counts(w: bytes) -> np.ndarray:
+    """The counts of a sketch."""
+    if len(w) == PARTS // 2:
+        x = np.frombuffer(w, np.uint8)
+        return np.stack([x & 15, x >> 4], axis=1).ravel().astype(np.int64)
+    return np.frombuffer(w, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(w) // PARTS]).astype(np.int64)
 
 
 def _possible(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
@@ -123,7 +134,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             often = np.isin(s, last)
             ordered = np.concatenate([s[~often], s[often]])
             firsts.append(ordered[: len(s) - int(np.ceil(least * len(s) - 1e-6)) + 1].view(np.int64))
-        return pd.DataFrame({"c": [_class(s) for s in sets], "n": [len(s) for s in sets], "ks": firsts, "w": [sketch(s).tobytes() for s in sets], "fp": marks})
+        return pd.DataFrame({"c": [_class(s) for s in sets], "n": [len(s) for s in sets], "ks": firsts, "w": [sketch(s) for s in sets], "fp": marks})
 
     found = common.written(docs.select("_id", prefixes("_text").alias("s")).select("_id", "s.*"), "shingles")
     named = found.filter("_id is not null")
@@ -133,7 +144,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     def confirmed(pairs: DataFrame) -> DataFrame:
         def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                shared = [int(np.minimum(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)).sum()) for x, y in zip(pdf["x"], pdf["y"])]
+                shared = [int(np.minimum(counts(x), counts(y)).sum()) for x, y in zip(pdf["x"], pdf["y"])]
                 yield pdf.loc[np.array(shared) * (1 + least) >= least * pdf["n"].to_numpy() - 1e-6, ["a", "b"]]
 
         # A bound first: whole sets travel only for pairs that it leaves.
