@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
         both = pairs.join(w.select(F.col("c").alias("a"), F.col("n").alias("m"), F.col("w").alias("x")), "a").join(w.select(F.col("c").alias("b"), "n", F.col("w").alias("y")), "b")
         pairs = common.cut(both.select("a", "b", (F.col("m") + F.col("n")).alias("n"), "x", "y").mapInPandas(likely, PAIR))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        ids = named.join(ends, "c").groupBy("c").agg(F.min("_id").alias("_id")).select("_id").distinct()
+        ids = common.cut(named.join(ends, "c").groupBy("c").agg(F.min("_id").alias("_id")).select("_id").distinct())
+        ids = F.broadcast(ids) if ids.count() <= common.FEW else ids  # few texts take part, as a rule
 
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
