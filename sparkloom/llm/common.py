@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Ids that are broadcast at most.
 FEW = 1_000_000
 #: Bytes of an Arrow batch of whole texts at most.
-BATCH = 16 << 20
+BATCH = 12 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +59,14 @@ def small_batches(spark: SparkSession, most: int = BATCH) -> None:
         spark.conf.set(key, str(most))
 
 
+def tidy() -> None:
+    """In a worker, once its work is done: gives free memory back to the system, as idle workers stay."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def released(spark: SparkSession) -> None:
     """Has Spark remove the shuffle files of frames that are no longer referenced: its cleaner waits for a collection.
 

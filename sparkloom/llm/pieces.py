@@ -310,7 +310,7 @@ def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFram
                 times = np.repeat(np.bincount(at, minlength=len(sizes)), sizes)
                 n = np.bincount(codes, weights=times, minlength=len(units)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([units, pa.array(n)], ["unit", "n"]).filter(pa.array(n > 0))
-            pa.default_memory_pool().release_unused()
+            common.tidy()
 
     counts = docs.select(text).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counts = common.written(counts, "units")
@@ -477,7 +477,7 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
                 doc = pa.array(doc + done)
                 yield pa.RecordBatch.from_arrays([b.column("k").take(doc), b.column("c").take(doc), pa.array(j.astype(np.int32)), names], ["k", "c", "j", "unit"])
                 done += n
-            pa.default_memory_pool().release_unused()
+            common.tidy()
 
     cells = docs.select(row[0].alias("k"), row[1].alias("c"), F.col(text).alias("t"))
     small = "array<smallint>" if len(model.spelt) <= 1 << 15 else "array<int>"
@@ -492,7 +492,7 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
         k, z, out = _Known(known.value), zstandard.ZstdCompressor(level=3), []
         for *_, at, ends in k.looked_up(b, prefix):
             out += _packed(at, ends, z)
-        pa.default_memory_pool().release_unused()  # idle workers stay, so they give their memory back
+        common.tidy()
         return pa.array(out, pa.binary())
 
     spell = _Speller(model) if back else None
@@ -520,7 +520,7 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
         out = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
         if spell:
             out = pa.StructArray.from_arrays([out, spell(out)], ["ids", "text"])
-        pa.default_memory_pool().release_unused()
+        common.tidy()
         return out
 
     fill = F.arrow_udf(filled, "struct<ids: array<int>, text: string>" if back else "array<int>")

@@ -30,7 +30,7 @@ class Hasher:
 
     def words(self, text: str | None) -> np.ndarray:
         w = (text or "").encode("utf-8", "surrogatepass").split()
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         known, digest = self.known, xxhash.xxh64_intdigest
         for x in set(w):
@@ -190,6 +190,8 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
                 ts += [np.full(len(u), t, np.int64), np.full(int((n > 1).sum()), ~t, np.int64)]
             if ks:
                 yield pd.DataFrame({"h": np.concatenate(ks).view(np.int64), "t": np.concatenate(ts)})
+        del hasher, seen
+        common.tidy()
 
     found = repeated(base.select("t", "text").mapInPandas(entries, "h long, t long").select("h", F.col("t").alias("r"), "t"))
     # The second of two places in one text only tells that there are two.
@@ -218,6 +220,8 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
                 if len(s):
                     runs = hasher.runs(h, length)[s]
                     yield pd.DataFrame({"h": runs.view(np.int64), "r": (int(o) << bits) | s, "t": np.full(len(s), t, np.int64)})
+        del hasher
+        common.tidy()
 
     runs = repeated(mine.mapInPandas(windows, "h long, r long, t long"))
     pos = F.col("r").bitwiseAND((1 << bits) - 1).cast("int")
