@@ -328,14 +328,14 @@ def encoded_units(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     return out
 
 
-def _hot(table: DataFrame) -> tuple[pa.Table, DataFrame]:
-    """The most frequent units that are short, commonest first, as many as ``HOT`` allows (all that occur c times, for the least such c); and the others."""
+def _hot(table: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
+    """The most frequent units that are short, commonest first, ``most`` at most (all that occur c times, for the least such c); and the others."""
     able = table.filter(F.octet_length("unit") <= HOT_BYTES)
     counts = sorted(((r["n"], r["k"]) for r in able.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("k")).collect()), reverse=True)
     least, total = math.inf, 0
     for n, k in counts:  # at most 100,000 different counts
         total += k
-        if total > HOT:
+        if total > most:
             break
         least = n
     hot = (F.octet_length("unit") <= HOT_BYTES) & (F.col("n") >= (least if least < math.inf else 2**62))
@@ -444,9 +444,10 @@ class _Speller:
         return pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out) if self.prefix else out
 
 
-def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "text", key: str = "_ids", back: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "text", key: str = "_ids", back: str | None = None, hot: int | None = None) -> DataFrame:
     """``docs``, all its columns, with ``key``: array<int>, the pieces of each whole text. Null and empty texts have none.
 
+    ``hot``: units that workers hold at most (``HOT``); fewer take less memory and more shuffling.
     ``back``: a column for the text decoded again from the pieces, in the same pass (of null texts null).
 
     Workers look frequent units up in a table of bounded size; the others of a text are joined on
@@ -459,10 +460,10 @@ def encoded(docs: DataFrame, model_file: str, id: str = "doc_id", text: str = "t
     common.small_batches(spark)
     model = Model(model_file)
     table = encoded_units(docs, model, text)
-    hot, others = _hot(table)
+    held, others = _hot(table, HOT if hot is None else hot)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, hot.schema) as w:
-        w.write_table(hot)
+    with pa.ipc.new_stream(sink, held.schema) as w:
+        w.write_table(held)
     known = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
     prefix = model.prefix
     own = common.own_names(docs)
