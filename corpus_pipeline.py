@@ -28,8 +28,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the piece ids of each document's text."""
-    return pieces.encoded(docs.select("doc_id", "text"), pieces.default_model(), key="ids")
+    """doc_id and the piece ids of each document's text; smaller tables and batches, as earlier stages' workers are still there."""
+    common.small_batches(spark, 4 << 20)
+    return pieces.encoded(docs.select("doc_id", "text"), pieces.default_model(), key="ids", hot=1 << 17)
 
 
 STAGES = [
@@ -40,7 +41,8 @@ STAGES = [
     ("SentencePiece encoding", encode),
 ]
 
-#: SQL has no XXH64, Cholesky factors or piece tables here; the stages are tested against brute force.
+#: SQL has no XXH64, Cholesky factors or piece tables here; tests/llm holds near copies, cut passages, copies
+#: in the mix and piece ids to plain Python on small tables, and the classifier to its held-out rows.
 ORACLE_SQL = None
 
 
