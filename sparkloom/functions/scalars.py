@@ -22,19 +22,25 @@ def count_char(s: Column, c: str) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(c[:1]), F.lit("")))
 
 
+def _json_at(s: Column, path: str) -> tuple[Column, Column]:
+    """The text at a path and whether it is an object or array, by its JSON type; bad JSON and JSON nulls give NULL."""
+    v = F.try_variant_get(F.try_parse_json(s), path, "variant")
+    kind = F.schema_of_variant(v)
+    return F.when(kind != "VOID", v), kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+
 def json_value(s: Column, path: str, default: str | None = None) -> Column:
     """A scalar at a path as text; objects, arrays and missing paths give the default."""
-    v = F.get_json_object(s, path)
-    return F.coalesce(F.when(~v.rlike(r"^\s*[\[{]"), v), F.lit(default))
+    v, nested = _json_at(s, path)
+    return F.coalesce(F.when(~nested, v.cast("string")), F.lit(default))
 
 
 def json_query(s: Column, path: str, wrapper: str = "without", empty: str | None = None) -> Column:
     """An object or array at a path. Wrapper: ``without`` (scalars are NULL), ``conditional`` (scalars are wrapped) or ``always``."""
-    v = F.get_json_object(s, path)
-    nested = v.rlike(r"^\s*[\[{]")
-    scalar = F.when(v.rlike(r"^(-?[0-9.]+([eE][-+]?[0-9]+)?|true|false|null)$"), v).otherwise(F.concat(F.lit('"'), v, F.lit('"')))
-    wrap = F.concat(F.lit("["), F.when(nested, v).otherwise(scalar), F.lit("]"))
-    out = {"without": F.when(nested, v), "conditional": F.when(nested, v).otherwise(wrap), "always": wrap}[wrapper]
+    v, nested = _json_at(s, path)
+    text = F.to_json(v)
+    wrap = F.concat(F.lit("["), text, F.lit("]"))
+    out = {"without": F.when(nested, text), "conditional": F.when(nested, text).otherwise(wrap), "always": wrap}[wrapper]
     return F.coalesce(F.when(v.isNotNull(), out), F.lit(empty))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HINTS = {"broadcast_hash": "broadcast", "shuffled_hash": "shuffle_hash", "sort_merge": "merge", "nested_loop": "shuffle_replicate_nl"}
+HINTS = {"broadcast_hash": "broadcast", "shuffled_hash": "shuffle_hash", "sort_merge": "merge", "nested_loop": "broadcast"}
 #: Bytes of a side that may be broadcast; larger sides shuffle whatever the caller asks for.
 BROADCAST_BYTES = 64 << 20
 
@@ -18,14 +18,23 @@ def size_of(df: DataFrame) -> int:
 
 
 def join(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner", strategy: str | None = None) -> DataFrame:
-    """A join by a named strategy. ``broadcast_hash`` holds only for a right side within ``BROADCAST_BYTES``."""
-    if strategy == "broadcast_hash" and size_of(right) > BROADCAST_BYTES:
-        strategy = "sort_merge"
-    return left.join(right.hint(HINTS[strategy]) if strategy else right, on, how)
+    """A join by a named strategy; ``nested_loop`` is for conditions without an equality.
+
+    Both broadcast strategies send the side that the join type allows (the left one of right outer
+    joins), and only within ``BROADCAST_BYTES``; a larger one leaves the choice to Spark's merge join
+    (without an equality, to its planner).
+    """
+    if not strategy:
+        return left.join(right, on, how)
+    flip = how in ("right", "right_outer", "rightouter") and HINTS[strategy] == "broadcast"
+    if HINTS[strategy] == "broadcast" and size_of(left if flip else right) > BROADCAST_BYTES:
+        return left.join(right if strategy == "nested_loop" else right.hint("merge"), on, how)
+    return left.hint(HINTS[strategy]).join(right, on, how) if flip else left.join(right.hint(HINTS[strategy]), on, how)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, ties: bool = False) -> DataFrame:
-    """The first ``n`` rows of each key (with ``ties``, by rank). Catalyst limits each key before the shuffle."""
+    """The first ``n`` rows of each key (with ``ties``, by rank). Catalyst limits each key before the
+    shuffle, unless another window over the same keys comes first."""
     rank = (F.rank() if ties else F.row_number()).over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).withColumnRenamed("_rank", "rank")
 

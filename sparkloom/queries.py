@@ -180,13 +180,15 @@ def j_sort_merge(spark, sf_dir):
 
 
 def _outer(how):
+    """All orders with all customers; shifted keys leave rows of both sides without a partner, nullif some without a key."""
+
     @query(f"""
-    WITH o AS (SELECT o_orderkey, nullif(o_custkey, 7) AS k FROM orders WHERE o_orderstatus = 'P' OR o_custkey % 3 = 0), c AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 1)
-    SELECT o_orderkey, k, c_custkey, c_mktsegment FROM o {how.upper()} JOIN c ON k = c_custkey
+    WITH o AS (SELECT o_orderkey, nullif(o_custkey, 7) AS k FROM orders), c AS (SELECT nullif(c_custkey + 40, 50) AS ck, c_mktsegment FROM customer)
+    SELECT o_orderkey, k, ck, c_mktsegment FROM o {how.upper()} JOIN c ON k = ck
     """)
     def f(spark, sf_dir):
-        o = t(spark, sf_dir, "orders").filter("o_orderstatus = 'P' or o_custkey % 3 = 0").select("o_orderkey", F.expr("nullif(o_custkey, 7)").alias("k"))
-        return o.join(t(spark, sf_dir, "customer").filter("c_custkey % 2 = 1").select("c_custkey", "c_mktsegment"), F.col("k") == F.col("c_custkey"), how)
+        o = t(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_custkey, 7)").alias("k"))
+        return o.join(t(spark, sf_dir, "customer").select(F.expr("nullif(c_custkey + 40, 50)").alias("ck"), "c_mktsegment"), F.col("k") == F.col("ck"), how)
 
     return f
 
@@ -294,8 +296,10 @@ def a_more(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, r, rn FROM (SELECT l_orderkey, l_linenumber, rank() OVER w AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS rn FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC)) WHERE rn <= 3")
 def w_top_rank(spark, sf_dir):
-    d = t(spark, sf_dir, "lineitem").withColumn("r", F.rank().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"))))
-    d = R.top_per_key(d.select("l_orderkey", "l_linenumber", "l_quantity", "r"), ["l_orderkey"], [F.desc("l_quantity"), F.asc("l_linenumber")], 3)
+    """Limited before the rank: the rank of the rows that are kept depends on them alone."""
+    d = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    d = R.top_per_key(d, ["l_orderkey"], [F.desc("l_quantity"), F.asc("l_linenumber")], 3)
+    d = d.withColumn("r", F.rank().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"))))
     return d.select("l_orderkey", "l_linenumber", "r", F.col("rank").alias("rn"))
 
 
@@ -323,10 +327,9 @@ def o_top_k(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice").orderBy(F.desc("p_size"), "p_retailprice", "p_partkey").offset(5).limit(25)
 
 
-@query("SELECT o_orderkey, s, row_number() OVER (ORDER BY s DESC NULLS LAST, o_orderkey) AS place FROM (SELECT o_orderkey, nullif(o_orderstatus, 'O') AS s FROM orders) QUALIFY place <= 50")
+@query("SELECT o_orderkey, nullif(o_orderstatus, 'O') AS s FROM orders ORDER BY s DESC NULLS LAST, o_orderkey")
 def o_sort_nulls(spark, sf_dir):
-    d = t(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_orderstatus, 'O')").alias("s")).orderBy(F.desc_nulls_last("s"), "o_orderkey").limit(50)
-    return d.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("s"), "o_orderkey")).cast("long"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_orderstatus, 'O')").alias("s")).orderBy(F.desc_nulls_last("s"), "o_orderkey")
 
 
 @query("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT c_custkey FROM customer WHERE c_acctbal < 0")
@@ -629,3 +632,6 @@ def u_table_function(spark, sf_dir):
 @query()
 def x_plan_report(spark, sf_dir):
     return analyzer.report(spark, q_pricing_summary(spark, sf_dir))
+
+
+from . import queries_analytic, queries_more  # noqa: E402, F401  they register their queries

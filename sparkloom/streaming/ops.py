@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import join
+
 
 def tumbling(df: DataFrame, ts: str, size: str, keys: list[str], *aggregates: Column, offset: str = "0 seconds") -> DataFrame:
     return _windowed(df, F.window(ts, size, size, offset), keys, aggregates)
@@ -49,7 +51,13 @@ def interval_join(left: DataFrame, right: DataFrame, on: Column, ts: tuple[str,
 
 
 def lookup_join(stream: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    return stream.join(dimension, key)
+    """Each row with its row of a table; the table is broadcast only within the size that ``relational.join`` allows."""
+    return join(stream, dimension, key, strategy="broadcast_hash")
+
+
+def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """The last row of each key by ``order``, by a streaming aggregate; ``complete`` or ``update`` output."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
 def distinct_within(df: DataFrame, keys: list[str]) -> DataFrame:

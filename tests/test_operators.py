@@ -78,3 +78,69 @@ def test_entry_works(spark):
 
     assert e.entry(spark).count() > 0
     assert e.oracle_sql().keys() <= e.queries().keys()
+
+
+NODES = {"broadcast_hash": "BroadcastHashJoin", "shuffled_hash": "ShuffledHashJoin", "sort_merge": "SortMergeJoin", "nested_loop": "BroadcastNestedLoopJoin"}
+
+
+@pytest.mark.parametrize("strategy", sorted(NODES))
+def test_each_join_type_runs_by_the_strategy_named(spark, data, strategy):
+    from sparkloom import queries, queries_more
+
+    for how in queries_more.LEGAL[strategy]:
+        df = queries.QUERIES[f"j_{strategy}_{how}"](spark, data)
+        assert NODES[strategy] in df._jdf.queryExecution().executedPlan().toString(), how
+
+
+def test_a_large_side_is_not_broadcast(spark, monkeypatch):
+    from sparkloom.operators import relational as R
+
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 0)
+    a, b = spark.range(10).toDF("k"), spark.range(5).toDF("k")
+    for how in ("inner", "right"):
+        assert "SortMergeJoin" in R.join(a, b, "k", how, "broadcast_hash")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_per_key_limits_before_the_shuffle(spark, data):
+    from sparkloom import queries
+
+    plan = queries.QUERIES["w_top_rank"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan[plan.index("WindowGroupLimit") :]
+
+
+def test_filters_reach_the_scan(spark, data):
+    d = spark.read.parquet(f"{data}/orders.parquet")
+    plan = d.filter("o_orderkey = 3 or o_custkey is null").filter("not o_orderstatus = 'F'")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
+    assert "Or(" in pushed and "Not(" in pushed and "IsNull" in pushed
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, data):
+    from sparkloom.sources import io
+
+    names = ["sparkloom_b1", "sparkloom_b2"]
+    try:
+        for n, (table, key) in zip(names, (("orders", "o_custkey"), ("customer", "c_custkey"))):
+            io.write_bucketed(spark.read.parquet(f"{data}/{table}.parquet"), n, 4, key)
+        a, b = (spark.table(n) for n in names)
+        plan = a.hint("merge").join(b, a.o_custkey == b.c_custkey)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    schema = "id long, v long"
+
+    def run():
+        q = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).groupBy("id").sum("v").writeStream.outputMode("update")
+        out = []
+        q = q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda d, n: out.extend(map(tuple, d.collect()))).start()
+        q.awaitTermination()
+        return sorted(out)
+
+    spark.createDataFrame([(1, 1), (2, 5)], schema).write.parquet(str(tmp_path / "in"))
+    assert run() == [(1, 1), (2, 5)]
+    spark.createDataFrame([(1, 2)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == [(1, 3)] and run() == []
