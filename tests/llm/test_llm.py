@@ -151,19 +151,138 @@ def test_pieces_of_rare_units_are_joined(spark, monkeypatch):
 
 
 def test_viterbi_is_brute_force(spark):
-    from itertools import product
-
     m = pieces.Model(pieces.default_model())
-    for w in ("▁the", "▁hello", "there", "▁▁a"):
-        best = max(
-            (tuple(w[i:j] for i, j in zip((0, *c), (*c, len(w)))) for k in range(1 << (len(w) - 1)) for c in [tuple(i + 1 for i in range(len(w) - 1) if k >> i & 1)]),
-            key=lambda p: (sum(m.score[x][1] for x in p) if all(x in m.score for x in p) else -1e18),
-        )
-        assert sum(m.score[m.text[i]][1] for i in m.viterbi(w)) == sum(m.score[x][1] for x in best)
+    score = {p: x for _, p, x in m.pieces}
     m.bpe = False
-    lat = pieces.lattice(spark.createDataFrame([(w, 1) for w in ("▁the", "▁hello", "▁漢x")], "unit string, n long"), m)
-    assert {r.unit: list(r.ids) for r in pieces.folded(lat, m).collect()} == {w: m.viterbi(w) for w in ("▁the", "▁hello", "▁漢x")}
-    del product
+    words = ("▁the", "▁hello", "there", "▁▁a", "▁漢x")
+    lat = pieces.lattice(spark.createDataFrame([(w, 1) for w in words], "unit string, n long"), m)
+    for r in pieces.folded(lat, m).collect():
+        w = r.unit
+        cuts = [tuple(i + 1 for i in range(len(w) - 1) if k >> i & 1) for k in range(1 << (len(w) - 1))]
+        total = lambda c: sum(score.get(x, m.unknown_score if len(x) == 1 else -1e18) for x in (w[i:j] for i, j in zip((0, *c), (*c, len(w)))))
+        best = max(cuts, key=total)
+        text = {i: p for i, p, _ in m.pieces}
+        assert sum(score[text[i]] for i in r.ids if i in text) == pytest.approx(sum(score[x] for x in (w[i:j] for i, j in zip((0, *best), (*best, len(w)))) if x in score))
+
+
+def test_long_units_and_odd_rows_are_the_librarys(spark):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    r = np.random.default_rng(11)
+    rows = [(i, "".join(r.choice(list("abcdethixo"), n)) + " " + "".join(r.choice(list("=-*."), n))) for i, n in enumerate([40, 47, 48, 49, 50, 64, 100, 250, 500])]
+    rows += [(90, "x" * 1500), (91, "=" * 700), (None, "two  words"), (None, None), (92, ""), (93, " lead and trail "), (94, "▁ a▁ b"), (95, "same"), (95, "same"), (96, "é漢 😀")]
+    d = spark.createDataFrame([(i, t, 1, 2, "c") for i, t in rows], "doc_id long, text string, _own1 long, _OWN_k1 long, cold string")
+    for hot in (0, 1 << 19):
+        got = pieces.encoded(d, pieces.default_model(), back="again", hot=hot)
+        assert got.columns == [*d.columns, "_ids", "again"]
+        assert sorted(((x.doc_id or -1, x.text or "", tuple(x._ids), x.again) for x in got.collect()), key=str) == sorted(((i or -1 if i != 0 else -1, t or "", tuple(own.encode(t or "")), None if t is None else own.decode(own.encode(t))) for i, t in rows), key=str)
+    assert pieces.encoded(d.limit(0), pieces.default_model()).count() == 0
+
+
+def test_fingerprints_are_those_of_a_plain_loop(spark):
+    import xxhash
+
+    texts = [t for _, t, _ in ODD] + ["One two THREE four five six", "a b c " * 500, "Ärger ÄRGER ärger x"]
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+        h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_quality_scores_are_those_of_plain_densities(spark, data):
+    d, lab = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    rows, known = d.toPandas(), lab.toPandas().groupby("doc_id").quality.max()
+    x = np.array([quality.statistics(t) for t in rows.text])
+    learn = np.array([i in known.index and zlib.crc32(str(i).encode()) % 4 != 2 for i in rows.doc_id])
+    y = np.array([known.get(i, -1) for i in rows.doc_id])
+    every = x[learn]
+    mean, scale, k = every.mean(axis=0), every.std(axis=0), x.shape[1]
+    z, pooled = (x - mean) / scale, np.corrcoef(every.T)
+    gap = np.zeros(len(x))
+    for c in (0, 1):
+        own = z[learn & (y == c)]
+        weight = min(1.0, quality.SHRINKAGE + k / (len(own) + k))
+        cov = (1 - weight) * np.cov(own.T, bias=True) + weight * (pooled + np.eye(k)) / 2 + 1e-4 * np.eye(k)
+        diff = z - own.mean(axis=0)
+        gap += (1 if c else -1) * -0.5 * (np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff) + np.linalg.slogdet(cov)[1])
+    prior = ((y[learn] == 1).sum() + 1) / (learn.sum() + 2)
+    want = 1 / (1 + np.exp(-np.clip(gap + np.log(prior / (1 - prior)), -500, 500)))
+    got = quality.scored(d, lab).toPandas().set_index("doc_id").score
+    assert np.allclose(got[rows.doc_id].to_numpy(), want, atol=1e-6)
+
+
+def test_neighbours_over_partition_edges():
+    import pyarrow as pa
+
+    r = np.random.default_rng(0)
+    for _ in range(300):
+        n = int(r.integers(0, 40))
+        h, least = np.sort(r.integers(0, int(r.integers(1, 20)), n)), np.arange(n) * 10
+        rows = []
+        for part in np.split(np.arange(n), np.sort(r.integers(0, n + 1, 3))):
+            twice = np.repeat(part, 1 + part % 2)  # equal rows are one
+            batches = [pa.RecordBatch.from_arrays([pa.array(h[x]), pa.array(least[x]), pa.array(x)], ["h", "r", "t"]) for x in np.array_split(twice, 3)]
+            rows += [x for b in suffixes._compared(iter(batches)) for x in b.to_pylist()]
+        ends = {}
+        for x in rows:
+            if x["t"] is None:
+                lo, k = ends.get(x["h"], (x["r"], 0))
+                ends[x["h"]] = (min(lo, x["r"]), k + x["n"])
+        got = {(x["t"], x["r"] != ends[x["h"]][0] if x["later"] is None else x["later"]) for x in rows if x["t"] is not None and (x["later"] is not None or ends[x["h"]][1] > 1)}
+        assert got == {(i, bool((h[:i] == h[i]).any())) for i in range(n) if (h == h[i]).sum() > 1}
+
+
+def test_a_null_id_with_a_shared_passage(spark):
+    w = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, f"a b c {w}", "a"), (None, f"{w} d e", "a"), (7, None, "a")]
+    got = {x.doc_id: tuple(x)[1:] for x in suffixes.measured(docs(spark, rows)).collect()}
+    assert got[1][:2] == (73, 70) and got[None][:2] == (72, 70) and got[7] == (0, 0, 0)
+    assert sorted([got[1][2], got[None][2]]) == [0, 70]
+    assert suffixes.measured(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("outcomes", [[], [("a.com", 1)], [("a.com", 0), ("b.com", 1)], [("a.com", 1)] * 5 + [("a.co.uk", 0)] * 5, [("a.org", 0)] * 3])
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_urls_with_few_outcomes(spark, outcomes, ansi, monkeypatch):
+    p = spark.createDataFrame([(1, "http://a.com/x", "k"), (2, "http://a.com/" + "y" * 9000, "k"), (3, None, "k"), (None, "http://b.com", "k")], "page_id long, url string, bound string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        o = spark.createDataFrame(outcomes, "host string, bad int")
+        got = sorted(map(str, urls.judged(p, o).collect()))
+        monkeypatch.setattr(urls, "FEW_BYTES", -1)  # the join beyond a broadcast gives the same
+        assert len(got) == 4 and got == sorted(map(str, urls.judged(p, o).collect()))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_suffixes_of_two_labels(spark):
+    d = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.com",)], "h string").select(urls.domain_of(F.col("h")), urls.suffix_of(F.col("h"))).collect()
+    assert [tuple(r) for r in d] == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com")]
+
+
+def test_callers_columns_keep_their_values(spark, data):
+    names = ["_t", "_later", "_new", "_own_t", "_own_first", "_key", "_n", "_at", "_p", "_gone", "_own_key", "_cold", "component_id", "_fp", "_row"]
+    text = [" ".join(f"w{j}x{i % 3}" for j in range(60)) + f" end{i}" for i in range(9)]
+    d = spark.createDataFrame([(i, text[i], "s", len(text[i]), *[f"{n}{i}" for n in names]) for i in range(9)], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    lab = spark.createDataFrame([(0, 1, 0)], LABELS)
+    for out in (suffixes.trimmed(d), mixing.mixed(d), simhash.deduplicated(d), simhash.deduplicated(d, size=5, least=0.8), quality.accepted(d, lab), pieces.encoded(d, pieces.default_model(), key="ids").drop("ids")):
+        rows = out.collect()
+        assert out.columns == d.columns and rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_the_mix_holds_whole_copies_in_order(spark):
+    rows = [(i, " ".join(["w"] * (5 + i % 7)), "abc"[i % 3]) for i in range(60)] + [(3, " ".join(["w"] * 8), "a")] * 2
+    d = docs(spark, rows)
+    want = Counter()
+    for r in mixing.plan(d).collect():
+        for copy in range(2):
+            took = max(0, min(r["size"], int(r["target"]) - r["start"] - copy * r["source_size"]))
+            want[r["doc_id"]] += took > 0 and 2 * took >= r["size"]
+    assert Counter(x.doc_id for x in mixing.mixed(d).collect()) == +want
 
 
 def auc(score, y):
