@@ -92,8 +92,8 @@ def _text_key(text: Column) -> Column:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of distinct rows (h, r, t) in order, those whose neighbour has the same h; ``later``: an earlier one has it.
 
-    The first h of a partition may go on from the one before, the last in the one after: rows that
-    this bears on come with a null ``later``, and a row without t tells the h, least r and number.
+    The first row of a partition may have an equal one before, a last run of one row one after: these
+    two come with a null ``later``, and rows without t tell both runs' h, least r and number.
     """
 
     def out(h, r, t, later, n) -> pa.RecordBatch:
@@ -117,12 +117,13 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head[2] += int(((h == head[0]) & fresh).sum())
         last = int((h[-1] == h).sum()) - (0 if held is None or held[0] != h[-1] else 1)
         tail = [h[-1], r[starts[-1]], last] if len(starts) and (tail is None or h[-1] != tail[0]) else [tail[0], tail[1], tail[2] + last]
-        first = h[:-1] == head[0]
+        first = np.zeros(len(h) - 1, bool)
+        first[:1] = held is None or held[4]
         keep = first | before[:-1] | same
         yield out(h[:-1][keep], r[:-1][keep], t[:-1][keep], pa.array(before[:-1][keep], mask=first[keep]), np.zeros(int(keep.sum()), np.int64))
-        held = (h[-1], r[-1], t[-1], bool(before[-1]))
+        held = (h[-1], r[-1], t[-1], bool(before[-1]), len(h) == 1 and (held is None or held[4]))
     if held is not None:
-        alone = held[0] == head[0] or tail[2] == 1
+        alone = held[4] or tail[2] == 1
         yield out([held[0]], [held[1]], [held[2]], [None if alone else held[3]], [0])
         ends = [head] if head[0] == tail[0] else [head, tail]
         yield out([e[0] for e in ends], [e[1] for e in ends], [None] * len(ends), [None] * len(ends), [e[2] for e in ends])
@@ -133,7 +134,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
     Rows are dealt by ranges of (h, r), sorted and compared with their neighbours, so that a very
     common h is spread over tasks. What happens at the edges of partitions is told by two rows a
-    partition, which are broadcast.
+    partition, which are broadcast, and bears on two rows a partition.
     """
     rows = common.written(rows, "sorted")
     found = rows.repartitionByRange("h", "r", "t").sortWithinPartitions("h", "r", "t")
