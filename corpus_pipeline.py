@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the piece ids of each document's text; smaller tables and batches, as earlier stages' workers are still there."""
     common.small_batches(spark, 4 << 20)
-    return pieces.encoded(docs.select("doc_id", "text"), pieces.default_model(), key="ids", hot=1 << 17)
+    return pieces.encoded(docs.select("doc_id", "text"), pieces.default_model(), key="ids", hot=1 << 17).select("doc_id", "ids")
 
 
 STAGES = [
