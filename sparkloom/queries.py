@@ -634,4 +634,4 @@ def x_plan_report(spark, sf_dir):
     return analyzer.report(spark, q_pricing_summary(spark, sf_dir))
 
 
-from . import queries_analytic, queries_more  # noqa: E402, F401  they register their queries
+from . import queries_analytic, queries_more, queries_runs  # noqa: E402, F401  they register their queries

@@ -24,9 +24,16 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifex
     (w.partitionBy(*by) if by else w).save(path)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str) -> None:
-    """A table bucketed and sorted by ``keys``: later joins and aggregates on them need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str, path: str | None = None) -> None:
+    """A table bucketed and sorted by ``keys``, in the warehouse or at ``path``: later joins and aggregates on them need no shuffle."""
+    w = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (w.option("path", path) if path else w).saveAsTable(table)
+
+
+def file_sink(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", by: tuple[str, ...] = ()) -> None:
+    """Writes what a stream has now to files; the sink's log commits each batch once, also when it is tried again."""
+    w = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    (w.partitionBy(*by) if by else w).start(path).awaitTermination()
 
 
 def event_time(df: DataFrame, column: str, delay: str | None = None) -> DataFrame:

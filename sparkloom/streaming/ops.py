@@ -105,19 +105,20 @@ def upserted(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
-def run_once(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_once(df: DataFrame, folder: str, mode: str = "append", name: str | None = None) -> DataFrame:
     """Runs a stream over what there is now and returns the rows it wrote, with their batch in ``_batch``.
 
-    Every batch overwrites its own folder, so a batch that is tried again leaves no double row.
+    Every batch overwrites its own folder, so a batch that is tried again leaves no double row. A run
+    with the ``name`` of an earlier one starts from that one's checkpoint and returns the rows of both.
     """
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/stream-{name or uuid.uuid4().hex}"
     spark = df.sparkSession
     schema = df.schema
 
     def save(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/_batch={n}")
 
-    spark.createDataFrame([], schema).write.parquet(f"{path}/out/_batch=-1")
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/out/_batch=-1")
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(save).start()
     q.awaitTermination()
     return spark.read.schema(schema.add("_batch", "long")).option("basePath", f"{path}/out").parquet(f"{path}/out")

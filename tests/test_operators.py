@@ -1,6 +1,11 @@
+import re
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import queries
 from sparkloom.functions import scalars as S
 from sparkloom.operators import relational as R
 from sparkloom.plans import analyzer, rewrites
@@ -144,3 +149,50 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert run() == [(1, 1), (2, 5)]
     spark.createDataFrame([(1, 2)], schema).write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == [(1, 3)] and run() == []
+
+
+def test_partitions_are_pruned_by_the_other_side(spark, data):
+    assert "dynamicpruning" in analyzer.plan_text(queries.QUERIES["s_dynamic_pruning"](spark, data))
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, data):
+    d = queries.QUERIES["s_bucketed_join"](spark, data)
+    assert "SortMergeJoin" in analyzer.plan_text(d) and "Exchange" not in analyzer.plan_text(d)
+
+
+def test_ranges_reach_orc_and_either_or_reaches_parquet(spark, data, tmp_path):
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    io.write(orders, str(tmp_path / "orc"), "orc")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)  # the plan's text cuts long lists
+    for d in (io.scan(spark, str(tmp_path / "orc"), "orc"), orders):
+        got = analyzer.plan_text(d.filter("(o_orderkey < 10 or o_orderkey > 5000) and not o_orderstatus = 'P' and o_custkey is not null").select("o_orderkey"))
+        pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", got)[1]
+        assert all(x in pushed for x in ("Or(LessThan(o_orderkey,10),GreaterThan(o_orderkey,5000))", "IsNotNull(o_custkey)", "Not(EqualTo(o_orderstatus,P))"))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_bids_repeat_and_keep_to_their_ranges(spark):
+    a, b = (sorted(map(tuple, io.bids(spark, 500, auctions=7, bidders=3).collect())) for _ in range(2))
+    assert a == b and len(a) == 500
+    assert {x[0] for x in a} == set(range(7)) and {x[1] for x in a} == set(range(3)) and all(1 <= x[2] <= 10_000 for x in a)
+
+
+def test_event_log_of_a_real_session(spark, data, tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.eventLog.enabled", "true").config("spark.eventLog.compress", "false").config("spark.eventLog.rolling.enabled", "false").config("spark.eventLog.dir", "file:{tmp_path}").getOrCreate()
+s.read.parquet("{data}/orders.parquet").groupBy("o_orderstatus").count().collect()
+s.read.parquet("{data}/orders.parquet").orderBy("o_totalprice").collect()
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, capture_output=True)
+    log = analyzer.event_log(spark, str(tmp_path))
+    assert log.filter("ms >= 0 and plan is not null").count() >= 2
+    got = {r.name: r for r in analyzer.log_report(spark, str(tmp_path)).collect()}
+    assert got["HashAggregate"].executions == 1 and got["HashAggregate"].times == 2 and got["HashAggregate"].covered
+    assert got["Sort"].group == "order" and got["Sort"].ms >= 0 and got["Scan"].executions == 2
+
+
+def test_partitionings_are_no_functions(spark, data):
+    d = spark.read.parquet(f"{data}/orders.parquet").groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("s"))
+    assert [f for f in analyzer.functions(analyzer.plan_text(d)) if "partition" in f] == []
