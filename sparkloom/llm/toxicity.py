@@ -151,11 +151,12 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"y": pdf["y"], "h": pdf["h"], "words": [b" ".join(window_words(t)) for t in pdf["text"]]})
 
 
-def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, held: int = 1, cut: float = 0.7) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, held: int = 1, cut: float = 0.7, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> DataFrame:
     """One row per document: id, held_out, score, predicted.
 
-    The model is fitted on at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled documents whose
-    crc32(id) mod ``modulus`` is not ``held``, taken by md5(id); every whole text is scored. Null
+    The model is fitted on at most ``toxic_rows`` and ``ordinary_rows`` labelled documents whose
+    crc32(id) mod ``modulus`` is not ``held``, taken by md5(id); of rows that share an id, the one of
+    least text. Every whole text is scored. Null
     and empty texts score as a text whose windows save nothing. Documents with several labels
     count with the largest; null labels and ids teach nothing. Without both classes the score is
     the smoothed base rate. Repeated rows each return a row.
@@ -165,8 +166,9 @@ def scored(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     known = known.filter(common.fold(F.col("_lid"), modulus) != held).withColumn("h", F.md5(F.col("_lid").cast("string").cast("binary")))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
-    some = known.filter("y = 1").orderBy("h", "_lid").limit(TOXIC_ROWS).union(known.filter("y = 0").orderBy("h", "_lid").limit(ORDINARY_ROWS))
+    some = known.filter("y = 1").orderBy("h", "_lid").limit(toxic_rows).union(known.filter("y = 0").orderBy("h", "_lid").limit(ordinary_rows))
     sample = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(some), F.col("_id") == F.col("_lid"))  # bounded by the limits
+    sample = sample.groupBy("_lid", "y", "h").agg(F.min("text").alias("text"))  # an id teaches once, however often its row is repeated
     got = sample.select("y", "h", "text").mapInPandas(_words, "y int, h string, words binary").collect()
     rows = [(r["y"], bytes(r["words"]).split()) for r in sorted(got, key=lambda r: (r["h"], bytes(r["words"])))]
     model = spark.sparkContext.broadcast(fitted(rows, share))

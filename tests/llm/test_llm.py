@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -311,6 +312,28 @@ def test_classifiers_on_odd_rows(spark):
     assert quality.accepted(docs(spark, ODD), lab).columns == docs(spark, []).columns
 
 
+def test_toxicity_scores_against_python_and_repeated_rows(spark, data):
+    d, lab = (spark.read.parquet(f"{data}/{x}.parquet") for x in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in d.collect()}
+    known = {}
+    for r in lab.collect():
+        if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            known[r.doc_id] = max(r.toxic, known.get(r.doc_id, 0))
+    order = sorted((i for i in known if i in texts), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    toxic, ordinary, calibration = toxicity.fitted([(known[i], toxicity.window_words(texts[i])) for i in order], (sum(known.values()) + 1) / (len(known) + 2))
+    gauge = toxicity.Gauge(toxic, ordinary)
+    want = {}
+    for i, s in texts.items():
+        words = {w.strip(".,!?#*$%&;:|\"'()") for w in re.split(r"[\x09-\x0D ]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))} - {""}
+        saved = sorted((len(gauge.compress[0](x)) - len(gauge.compress[1](x)) for x in (gauge.before + w.encode() + gauge.after for w in words)), reverse=True) or [0]
+        x = [saved[0], sum(saved[:3]), sum(v - 1 for v in saved if v > 1) / (len(saved) + 5), np.log1p(len([v for v in saved if v > 2]))]
+        want[i] = float(calibration.score(np.array([x], dtype=float))[0])
+    for rows in (d, d.union(d).union(d)):
+        got = toxicity.scored(rows, lab).collect()
+        assert len(got) == rows.count()
+        assert all(abs(r.score - want[r.doc_id]) < 1e-9 for r in got)
+
+
 def test_rules_against_python(spark, data):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     for r in rules.op5_rules(spark, data).collect():
