@@ -16,6 +16,8 @@ from . import common, simhash
 NEAR = 16
 #: One document in ``SAMPLE`` is read for the shingles that go last in the order; ``OFTEN``: such shingles at most. Any order gives the same links.
 SAMPLE, OFTEN = 16, 1 << 16
+#: Classes under one shingle that one task has of either side, about.
+SIDE = 512
 #: Parts of a set's sketch.
 PARTS = 256
 PAIR = "a long, b long"
@@ -56,8 +58,8 @@ def _possible(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, least:
     return np.minimum(n - p, m - q) * (1 + least) >= least * (n + m) - 1e-6
 
 
-def _last(docs: DataFrame, size: int, seed: int) -> np.ndarray:
-    """Shingles that many documents have, ascending."""
+def _last(docs: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents have, ascending, and the place of each among them: the most frequent is last."""
 
     def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -65,7 +67,21 @@ def _last(docs: DataFrame, size: int, seed: int) -> np.ndarray:
 
     some = docs.filter(common.fold(F.col("_id"), SAMPLE) == 0).select("_text").mapInPandas(every, "k long")
     rows = some.groupBy("k").agg(F.count("*").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "k").limit(OFTEN).select("k").toPandas()
-    return np.sort(rows["k"].to_numpy(np.int64).view(np.uint64))
+    keys = rows["k"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], len(keys) - 1 - order
+
+
+def ordered(s: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A set, ascending, in the order that all sets share: what is not in ``last`` by itself, then the rest by its place.
+
+    ``last`` is searched for the set's members: it may be far longer than a set, and must not be walked for each.
+    """
+    if not len(last):
+        return s
+    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+    often = last[at] == s
+    return np.concatenate([s[~often], s[often][np.argsort(place[at[often]])]])
 
 
 def _near(least: float):
@@ -94,17 +110,30 @@ def _near(least: float):
     return pairs
 
 
+def _dealt(lists: DataFrame) -> DataFrame:
+    """Rows of ``k``, ``c`` once for each pair of sides (``lo``, ``hi``) that theirs, ``own``, is part of; a side has about ``SIDE`` rows."""
+    sides = lists.groupBy("k").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+    rows = lists.join(sides, "k").withColumn("own", F.pmod(F.xxhash64("c"), F.col("sides")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    return rows.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with")).drop("with", "sides")
+
+
 def _across(least: float):
-    """All possible pairs of two components under one shingle."""
+    """The pairs of different components under one shingle, of two sides, that sizes, places and sketches leave possible."""
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, c, p, g = (pdf[x].to_numpy(np.int64) for x in ("n", "c", "p", "g"))
-        name, size = np.unique(g, return_counts=True)
+        n, c, p, g, own = (pdf[x].to_numpy(np.int64) for x in ("n", "c", "p", "g", "own"))
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         out = [np.empty((2, 0), np.int64)]
-        for i in np.flatnonzero(g != name[size.argmax()]):
-            j = np.flatnonzero((g != g[i]) & _possible(n[i], p[i], n, p, least))
-            out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]))
-        return pd.DataFrame(np.unique(np.concatenate(out, axis=1), axis=1).T, columns=["a", "b"])
+        if (g != g[0]).any():
+            w = np.stack([counts(x) for x in pdf["w"]]).astype(np.int32)
+            for i in np.flatnonzero(own == lo):
+                j = np.flatnonzero((g != g[i]) & (own == hi) & _possible(n[i], p[i], n, p, least))
+                j = j[j > i] if lo == hi else j
+                if len(j):
+                    j = j[np.minimum(w[i], w[j]).sum(axis=1) * (1 + least) >= least * (n[i] + n[j]) - 1e-6]
+                    out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]))
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["a", "b"])
 
     return pairs
 
@@ -122,7 +151,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    last = _last(docs, size, seed)
+    last, place = _last(docs, size, seed)
 
     @F.pandas_udf("c long, n int, ks array<long>, w binary, fp long")
     def prefixes(texts: pd.Series) -> pd.DataFrame:
@@ -131,9 +160,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
         sets = [np.unique(h).astype(np.uint64) for h in all_]
         firsts = []
         for s in sets:
-            often = np.isin(s, last)
-            ordered = np.concatenate([s[~often], s[often]])
-            firsts.append(ordered[: len(s) - int(np.ceil(least * len(s) - 1e-6)) + 1].view(np.int64))
+            firsts.append(ordered(s, last, place)[: len(s) - int(np.ceil(least * len(s) - 1e-6)) + 1].view(np.int64))
         return pd.DataFrame({"c": [_class(s) for s in sets], "n": [len(s) for s in sets], "ks": firsts, "w": [sketch(s) for s in sets], "fp": marks})
 
     found = common.written(docs.select("_id", prefixes("_text").alias("s")).select("_id", "s.*"), "shingles")
@@ -184,7 +211,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     long = close.filter("b is null").select(F.col("a").alias("k"))
     if not long.isEmpty():
         lists = lists.drop("g").join(long, "k").join(groups, F.col("c") == F.col("node"), "left").select("k", "c", "n", "p", F.coalesce("component", "c").alias("g"))
-        more = common.cut(lists.groupBy("k").applyInPandas(_across(least), PAIR).distinct())
+        # Rows carry their sketches, so pairs that these exclude are never made rows.
+        sketches = named.join(lists.select("c").distinct(), "c").dropDuplicates(["c"]).select("c", "w")
+        more = common.cut(_dealt(lists).join(sketches, "c").groupBy("k", "lo", "hi").applyInPandas(_across(least), PAIR).distinct())
         groups = common.components(edges.union(confirmed(more)))
         common.released(docs.sparkSession)
     grouped = classes.select("c", "id").join(groups, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("component", "c").alias("g"))

@@ -121,6 +121,24 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     assert similar.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_frequent_shingles_come_last_and_long_lists_are_split(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SAMPLE", 1)
+    d = spark.createDataFrame([(i, "a b c d e" + " f" * (i > 4) if i < 30 else "g h i j k") for i in range(40)], "_id long, _text string")
+    last, place = similar._last(d, 5, 42)
+    names = {int(similar.shingles(t, 5)[0]): t for t in ("a b c d e", "b c d e f", "g h i j k", "x y z x y")}
+    s = np.sort(np.array(list(names), np.uint64))
+    assert [names[int(x)] for x in similar.ordered(s, last, place)] == ["x y z x y", "g h i j k", "b c d e f", "a b c d e"]
+    assert (similar.ordered(s, last[:0], place[:0]) == s).all()
+    monkeypatch.setattr(similar, "SIDE", 50)
+    lists = spark.createDataFrame([(1, i, 10, 0, i) for i in range(400)], "k long, c long, n int, p int, g long")
+    rows = similar._dealt(lists).cache()
+    sizes = [r["count"] for r in rows.groupBy("lo", "hi").count().collect()]
+    assert len(sizes) == 36 and max(sizes) < 200 and sum(sizes) == 400 * 8
+    w = similar.sketch(np.arange(10, dtype=np.uint64))  # one sketch: every pair is possible, none is lost or comes twice
+    got = rows.withColumn("w", F.lit(bytearray(w))).groupBy("k", "lo", "hi").applyInPandas(similar._across(0.8), similar.PAIR)
+    assert got.count() == got.distinct().count() == 400 * 399 // 2
+
+
 def test_pipeline_drops_a_planted_near_copy(spark, data):
     r = np.random.default_rng(8)
     w = [f"w{x}" for x in r.integers(0, 10**9, 104)]
