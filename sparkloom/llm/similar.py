@@ -64,6 +64,7 @@ def _last(docs: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray
     def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"k": np.concatenate([shingles(t, size, seed) for t in pdf["_text"]]).view(np.int64)})
+        common.tidy()
 
     some = docs.filter(common.fold(F.col("_id"), SAMPLE) == 0).select("_text").mapInPandas(every, "k long")
     rows = some.groupBy("k").agg(F.count("*").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "k").limit(OFTEN).select("k").toPandas()
@@ -106,6 +107,7 @@ def _near(least: float):
                 if ok.any():
                     u, v = c[i[ok]], c[j[ok]]
                     yield pd.DataFrame({"a": np.minimum(u, v), "b": pd.array(np.maximum(u, v), dtype="Int64")})
+        common.tidy()
 
     return pairs
 
@@ -161,7 +163,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
         firsts = []
         for s in sets:
             firsts.append(ordered(s, last, place)[: len(s) - int(np.ceil(least * len(s) - 1e-6)) + 1].view(np.int64))
-        return pd.DataFrame({"c": [_class(s) for s in sets], "n": [len(s) for s in sets], "ks": firsts, "w": [sketch(s) for s in sets], "fp": marks})
+        out = pd.DataFrame({"c": [_class(s) for s in sets], "n": [len(s) for s in sets], "ks": firsts, "w": [sketch(s) for s in sets], "fp": marks})
+        del all_, sets, firsts
+        common.tidy()
+        return out
 
     found = common.written(docs.select("_id", prefixes("_text").alias("s")).select("_id", "s.*"), "shingles")
     named = found.filter("_id is not null")
@@ -173,6 +178,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             for pdf in batches:
                 shared = [int(np.minimum(counts(x), counts(y)).sum()) for x, y in zip(pdf["x"], pdf["y"])]
                 yield pdf.loc[np.array(shared) * (1 + least) >= least * pdf["n"].to_numpy() - 1e-6, ["a", "b"]]
+            common.tidy()
 
         # A bound first: whole sets travel only for pairs that it leaves.
         w = named.join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c").select("c", "n", "w").dropDuplicates(["c"])
@@ -186,11 +192,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             for pdf in batches:
                 s = [shingles(t, size, seed) for t in pdf["_text"]]
                 yield pd.DataFrame({"c": [_class(x) for x in s], "s": [x.tobytes() for x in s]})
+            common.tidy()
 
         def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(pdf["x"], pdf["y"])]
                 yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
+            common.tidy()
 
         s = common.cut(docs.join(ids, "_id").mapInPandas(sets, "c long, s binary").dropDuplicates(["c"]))
         both = pairs.join(s.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
