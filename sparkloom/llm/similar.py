@@ -210,15 +210,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     edges = confirmed(simhash.links(firsts, budget).unionByName(alike).distinct())
     groups = common.components(edges)
     common.released(docs.sparkSession)
-    lists = classes.join(groups, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("component", "c").alias("g"), F.posexplode("ks").alias("p", "k"))
-    close = common.cut(lists.repartition("k").sortWithinPartitions("k", "n", "c").mapInPandas(_near(least), PAIR).distinct())
+
+    def listed(groups: DataFrame) -> DataFrame:
+        return classes.join(groups, F.col("c") == F.col("node"), "left").select("c", "n", F.coalesce("component", "c").alias("g"), F.posexplode("ks").alias("p", "k"))
+
+    close = common.cut(listed(groups).repartition("k").sortWithinPartitions("k", "n", "c").mapInPandas(_near(least), PAIR).distinct())
     common.released(docs.sparkSession)
     edges = edges.union(confirmed(close.filter("b is not null")))
     common.released(docs.sparkSession)
     groups = common.components(edges)
     long = close.filter("b is null").select(F.col("a").alias("k"))
-    if not long.isEmpty():
-        lists = lists.drop("g").join(long, "k").join(groups, F.col("c") == F.col("node"), "left").select("k", "c", "n", "p", F.coalesce("component", "c").alias("g"))
+    many = long.count()
+    if many:
+        # Kept, as several steps read them; else each would deal out every class's whole prefix again. Few lists are long, as a rule.
+        lists = common.cut(listed(groups).join(F.broadcast(long) if many <= common.FEW else long, "k"))
+        common.released(docs.sparkSession)
         # Rows carry their sketches, so pairs that these exclude are never made rows.
         sketches = named.join(lists.select("c").distinct(), "c").dropDuplicates(["c"]).select("c", "w")
         more = common.cut(_dealt(lists).join(sketches, "c").groupBy("k", "lo", "hi").applyInPandas(_across(least), PAIR).distinct())

@@ -139,6 +139,28 @@ def test_frequent_shingles_come_last_and_long_lists_are_split(spark, monkeypatch
     assert got.count() == got.distinct().count() == 400 * 399 // 2
 
 
+@pytest.mark.parametrize("few", [common.FEW, 0])
+def test_rows_of_long_lists_are_dealt_out_once(spark, monkeypatch, few):
+    monkeypatch.setattr(similar, "NEAR", 3)
+    monkeypatch.setattr(common, "FEW", few)
+    r = np.random.default_rng(9)
+    text = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    part, texts = text(90), {i: " ".join(text(60)) for i in range(20, 60)}
+    texts |= {i: " ".join(part + text(18 + i % 2)) for i in range(12)}  # long lists, no link but the last
+    texts[12] = texts[11] + " more"
+    dealt, seen = similar._dealt, []
+
+    def watched(lists):
+        seen.append((lists._jdf.queryExecution().optimizedPlan().toString(), lists.groupBy("k").count().collect()))
+        return dealt(lists)
+
+    monkeypatch.setattr(similar, "_dealt", watched)
+    got = similar.near_duplicates(docs(spark, [(i, t, "a") for i, t in texts.items()])).collect()
+    assert {x.doc_id: x.component_id for x in got} == similar_components(texts)
+    (plan, lists), = seen
+    assert "Generate" not in plan and lists and all(3 < x["count"] <= 13 for x in lists)
+
+
 def test_pipeline_drops_a_planted_near_copy(spark, data):
     r = np.random.default_rng(8)
     w = [f"w{x}" for x in r.integers(0, 10**9, 104)]
