@@ -201,6 +201,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             common.tidy()
 
         s = common.cut(docs.join(ids, "_id").mapInPandas(sets, "c long, s binary").dropDuplicates(["c"]))
+        common.released(docs.sparkSession)  # before whole sets are dealt out
         both = pairs.join(s.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
         return common.cut(both.select("a", "b", "x", "y").mapInPandas(similar, PAIR))
 
