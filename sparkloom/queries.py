@@ -232,7 +232,9 @@ def j_extra_condition(spark, sf_dir):
 @query("SELECT c_custkey, max(o_orderkey) AS last_order, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def j_cogroup(spark, sf_dir):
     def f(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"c_custkey": a["k"], "last_order": pd.array([b["o"].max() if len(b) else None] * len(a), dtype="Int64"), "n": len(b)})
+        orders = b.dropna(subset="k").groupby("k")["o"].agg(["max", "count"])  # a null key has no partner
+        d = a.groupby("k", dropna=False).size().reset_index(name="rows").merge(orders, how="left", left_on="k", right_index=True)
+        return pd.DataFrame({"c_custkey": d["k"], "last_order": d["max"], "n": d["count"].astype("Int64").fillna(0) * d["rows"]})
 
     c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     return R.co_grouped(c, t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o")), "k", f, "c_custkey long, last_order long, n long")

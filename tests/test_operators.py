@@ -1,7 +1,9 @@
 import re
 import subprocess
 import sys
+import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +198,51 @@ s.stop()
 def test_partitionings_are_no_functions(spark, data):
     d = spark.read.parquet(f"{data}/orders.parquet").groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("s"))
     assert [f for f in analyzer.functions(analyzer.plan_text(d)) if "partition" in f] == []
+
+
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    yield
+    spark.conf.set(name, old)
+
+
+def odd_orders(spark, folder):
+    """Customers and orders with null, repeated and unmatched keys, keys over many batches, and numbers beyond 2**53."""
+    customers = [(k,) for k in [None, None, 1, 1, *range(2, 60), 2**60]]
+    orders = [(None if i % 9 == 0 else 2**60 + i, (i * i) % 70 if i % 5 else None) for i in range(400)] + [(2**60 + 1000 + i, 2**60) for i in range(50)]
+    spark.createDataFrame(customers, "c_custkey long").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+
+
+def same_as_sql(spark, folder, name, *tables):
+    import duckdb
+
+    c = duckdb.connect()
+    for n in tables:
+        c.execute(f"CREATE VIEW {n} AS SELECT * FROM '{folder}/{n}.parquet/*.parquet'")
+    want = c.execute(queries.SQL[name]).fetchall()
+    columns = [d[0] for d in c.description]
+    return sorted(map(str, map(tuple, queries.QUERIES[name](spark, str(folder)).select(*columns).collect()))) == sorted(map(str, want))
+
+
+def test_co_grouped_meets_whole_keys_many_a_call(spark, small_batches):
+    a = spark.createDataFrame([(k, k) for k in [None, *range(300)]], "k long, x long")
+    b = spark.createDataFrame([(i % 60 if i % 7 else None, str(i)) for i in range(400)], "k long, y string")
+
+    def f(a, b):
+        keys = sorted({-1 if v is pd.NA else v for v in [*a["k"], *b["k"]]})
+        n, m = a["k"].fillna(-1).value_counts(), b["k"].fillna(-1).value_counts()
+        return pd.DataFrame([(k, n.get(k, 0), m.get(k, 0)) for k in keys], columns=["k", "n", "m"]).assign(call=uuid.uuid4().hex)
+
+    got = R.co_grouped(a, b, "k", f, "k long, n long, m long, call string").collect()
+    want = {k: [1, sum((i % 60 if i % 7 else -1) == k for i in range(400))] for k in range(-1, 300)}
+    assert {r.k: [r.n, r.m] for r in got} == want and len(got) == len(want)
+    assert len({r.call for r in got}) < len(want)
+
+
+def test_j_cogroup_on_odd_keys(spark, small_batches, tmp_path):
+    odd_orders(spark, tmp_path)
+    assert same_as_sql(spark, tmp_path, "j_cogroup", "customer", "orders")
