@@ -183,9 +183,9 @@ def u_window_udf(spark, sf_dir):
 def u_apply_in_pandas(spark, sf_dir):
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("o_orderkey")
-        return pdf.assign(place=range(len(pdf)))
+        return pdf.assign(place=pdf.groupby("o_custkey", dropna=False).cumcount())
 
-    return t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").groupBy("o_custkey").applyInPandas(f, "o_custkey long, o_orderkey long, place long")
+    return R.applied_in_pandas(t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", f, "o_custkey long, o_orderkey long, place long")
 
 
 @query("SELECT n_nationkey, unnest(string_split(n_name, '_')) AS part FROM nation")

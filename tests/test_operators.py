@@ -246,3 +246,22 @@ def test_co_grouped_meets_whole_keys_many_a_call(spark, small_batches):
 def test_j_cogroup_on_odd_keys(spark, small_batches, tmp_path):
     odd_orders(spark, tmp_path)
     assert same_as_sql(spark, tmp_path, "j_cogroup", "customer", "orders")
+
+
+def test_a_function_in_pandas_gets_whole_keys_many_a_call(spark, small_batches):
+    d = spark.createDataFrame([(None if i % 11 == 0 else str(i % 200), i) for i in range(1000)], "k string, v long").union(spark.createDataFrame([("x", i) for i in range(100)], "k string, v long"))
+
+    def f(pdf):
+        return pdf.groupby("k", dropna=False)["v"].agg(n="count", s="sum").reset_index().assign(call=uuid.uuid4().hex)
+
+    got = R.applied_in_pandas(d, "k", f, "k string, n long, s long, call string").collect()
+    want = d.groupBy("k").agg(F.count("v"), F.sum("v")).collect()
+    assert sorted((r[:3] for r in got), key=str) == sorted(map(tuple, want), key=str)
+    assert len({r.call for r in got}) < len(want)
+    with pytest.raises(ValueError):
+        R.applied_in_pandas(d.select(F.col("v").cast("double").alias("k")), "k", f, "k double")
+
+
+def test_u_apply_in_pandas_on_odd_keys(spark, small_batches, tmp_path):
+    odd_orders(spark, tmp_path)
+    assert same_as_sql(spark, tmp_path, "u_apply_in_pandas", "orders")
