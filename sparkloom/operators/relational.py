@@ -61,6 +61,42 @@ def last_value(value: str, order: str) -> Column:
     return F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
 
 
+def quantiles(df: DataFrame, key: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact interpolated quantiles (``percentile``; nulls are left out) of columns for each of a few keys:
+    ``wanted`` is {name: (column, fraction)}.
+
+    ``percentile`` keeps every value of a key in one map. Here an approximate pass proposes two values
+    around each quantile, a second counts the rows below and up to them, and a third ranks the
+    values only of the part that holds the quantile. The counts are exact and choose that part, so a poor
+    proposal makes the part larger, not the result wrong. A row a key is broadcast.
+    """
+    df = df.select(F.col(key).alias("_k"), *[F.col(c).cast("double").alias(f"_v{i}") for i, (c, _) in enumerate(wanted.values())])
+    fractions = [q for _, q in wanted.values()]
+    each = range(len(fractions))
+
+    def beside(small: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(small.withColumnRenamed("_k", "_of")), F.col("_k").eqNullSafe(F.col("_of"))).drop("_of")
+
+    near = df.groupBy("_k").agg(*[F.percentile_approx(f"_v{i}", [max(q - 0.0005, 0.0), min(q + 0.0005, 1.0)]).alias(f"_p{i}") for i, q in enumerate(fractions)])
+    near = near.select("_k", *[F.col(f"_p{i}")[j].alias(f"_{'ab'[j]}{i}") for i in each for j in (0, 1)])
+    counts = beside(near).groupBy("_k").agg(*[x for i in each for x in (
+        F.first(f"_a{i}").alias(f"_a{i}"), F.first(f"_b{i}").alias(f"_b{i}"), F.count(f"_v{i}").alias(f"_n{i}"), F.count_if(F.expr(f"_v{i} < _a{i}")).alias(f"_below{i}"), F.count_if(F.expr(f"_v{i} <= _b{i}")).alias(f"_upto{i}"))])
+    for i, q in enumerate(fractions):
+        counts = counts.withColumn(f"_at{i}", (F.col(f"_n{i}") - 1) * F.lit(q)).withColumn(f"_lo{i}", F.floor(f"_at{i}")).withColumn(f"_hi{i}", F.ceil(f"_at{i}"))
+        counts = counts.withColumn(f"_skip{i}", F.expr(f"case when _lo{i} >= _upto{i} then _upto{i} when _lo{i} >= _below{i} then _below{i} else 0 end"))
+    part = [F.expr(f"case when _lo{i} >= _upto{i} then _v{i} > _b{i} when _lo{i} >= _below{i} then _v{i} >= _a{i} else true end and case when _hi{i} < _below{i} then _v{i} < _a{i} when _hi{i} < _upto{i} then _v{i} <= _b{i} else true end") for i in each]
+    part = [F.col(f"_v{i}").isNotNull() & part[i] for i in each]
+    values = [F.when(part[i], F.struct(F.lit(i).alias("i"), *[F.col(f"_{c}{i}").alias(c) for c in ("v", "at", "lo", "hi", "skip")])) for i in each]
+    values = beside(counts).filter(reduce(Column.__or__, part)).select("_k", F.inline(F.array_compact(F.array(*values))))
+    values = values.groupBy("_k", "i", "at", "lo", "hi", "skip", "v").agg(F.count("*").alias("n"))
+    last = F.col("skip") + F.sum("n").over(Window.partitionBy("_k", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    of = values.withColumn("_last", last).groupBy("_k", "i", "at", "lo", "hi").agg(*[F.min(F.when(F.col("_last") > F.col(c), F.col("v"))).alias(f"_{c}") for c in ("lo", "hi")])
+    of = of.withColumn("_q", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((F.col("hi") - F.col("at")) * F.col("_lo") + (F.col("at") - F.col("lo")) * F.col("_hi")))
+    found = of.groupBy("_k").agg(*[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(name) for i, name in enumerate(wanted)])
+    keys = near.select(F.col("_k").alias(key))
+    return keys.join(found, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

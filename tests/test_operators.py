@@ -265,3 +265,31 @@ def test_a_function_in_pandas_gets_whole_keys_many_a_call(spark, small_batches):
 def test_u_apply_in_pandas_on_odd_keys(spark, small_batches, tmp_path):
     odd_orders(spark, tmp_path)
     assert same_as_sql(spark, tmp_path, "u_apply_in_pandas", "orders")
+
+
+def odd_values(spark):
+    rows = [(k, float(i * i % 977 - 300) if i % 13 else None, i % 5 or None) for k in ("a", "b", None) for i in range(700)]
+    rows += [("one", 2.5, 7), ("two", -1.0, None), ("two", 4.0, None), ("none", None, None), ("none", None, None), *[("tie", 3.0, 3)] * 50]
+    rows += [("nan", v, 1) for v in (float("nan"), 1.0, float("nan"), 2.0, 0.0)] + [("inf", v, 1) for v in (float("inf"), float("-inf"), 1.0, float("inf"))]
+    return spark.createDataFrame(rows, "k string, x double, n int").repartition(3)
+
+
+QUANTILES = {"lo": ("x", 0.0), "q": ("x", 0.37), "mid": ("n", 0.5), "tail": ("x", 0.999), "hi": ("n", 1.0)}
+
+
+@pytest.mark.parametrize("proposal", ["own", "least", "most", "apart", "crossed"])
+def test_quantiles_are_exact_whatever_the_proposal(spark, monkeypatch, proposal):
+    d = odd_values(spark)
+    want = d.groupBy("k").agg(*[F.percentile(c, q).alias(n) for n, (c, q) in QUANTILES.items()]).collect()
+    pair = {"least": (F.min, F.min), "most": (F.max, F.max), "apart": (F.min, F.max), "crossed": (F.max, F.min)}.get(proposal)
+    if pair:
+        monkeypatch.setattr(F, "percentile_approx", lambda c, _: F.array(*[f(c) for f in pair]))
+    got = R.quantiles(d, "k", QUANTILES).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_a_statistics_holds_no_map_of_values(spark, tmp_path):
+    rows = [(("A", "R", None)[i % 3], i % 9 if i % 7 else None, i % 50 * 1.0 if i % 11 else None, i * 7919 % 10007 / 100, i % 11 / 100) for i in range(3000)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert same_as_sql(spark, tmp_path, "a_statistics", "lineitem")
+    assert not re.search(r"\b(percentile|median)\(", analyzer.plan_text(queries.QUERIES["a_statistics"](spark, str(tmp_path))))
